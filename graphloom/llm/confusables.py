@@ -16,6 +16,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters that look like a Latin letter, after the Unicode confusables data (prototype: look-alikes).
 _LATIN = """
@@ -166,13 +167,13 @@ def readable(text: str) -> str:
     return unicodedata.normalize("NFC", skeleton(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _skeletons(values: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return values.map(lambda x: known.setdefault(x, skeleton(x)) if x is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _readable(values: pd.Series) -> pd.Series:
     return values.map(lambda x: readable(x) if x is not None else None)
 
