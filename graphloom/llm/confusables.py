@@ -9,9 +9,11 @@ digits, and accented and plain letters stay apart here.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -162,8 +164,23 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", twice.translate(_TABLE)) if not twice.isascii() else twice.translate(_TABLE)
 
 
+@lru_cache(maxsize=1)
+def _rewritten() -> re.Pattern:
+    """Finds a character that the skeleton writes differently, or may, beyond the first plane."""
+    points = (p for p in range(0x80, 0x10000) if not (0xAC00 <= p <= 0xD7A3 or 0x3400 <= p <= 0x9FFF or 0xD800 <= p <= 0xF8FF))
+    changed = [p for p in points if unicodedata.normalize("NFC", skeleton(chr(p))) != chr(p)]
+    return re.compile("[" + "".join(map(chr, changed)) + "\U00010000-\U0010ffff]")
+
+
+def settled(text: str) -> bool:
+    """Whether the skeleton would rewrite no letter of the text, but line breaks and tabs at most."""
+    return text.isascii() or unicodedata.is_normalized("NFC", text) and not _rewritten().search(text)
+
+
 def readable(text: str) -> str:
     """The skeleton, composed: the form in which a text is stored after clean-up."""
+    if text.isprintable() and settled(text):
+        return text
     return unicodedata.normalize("NFC", skeleton(text))
 
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from graphloom.llm.confusables import readable
+from graphloom.llm.confusables import readable, settled
 
 #: Characters hashed at once; bounds a task's memory whatever the batch holds.
 CHARS = 2_000_000
@@ -57,7 +57,7 @@ def comparable(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     text = text.translate(_EMPHASIS) if "*" in text or "~" in text or "`" in text else text
-    return text.lower() if text.isascii() else readable(text).lower()
+    return text.lower() if settled(text) else readable(text).lower()
 
 
 def blocks(texts: Sequence[str]) -> Iterator[tuple[int, list[str]]]:
@@ -110,13 +110,21 @@ def gram_hashes(owner: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
 
 
 def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least gram of every window, the last one of equals.
+    """Positions of the least gram of every window, and of its equals.
 
     Any two sequences that share `window` grams in a row share a position.
     """
     if window == 1 or len(grams) < window:
         picked = np.arange(len(grams))
     else:
-        views = np.lib.stride_tricks.sliding_window_view(grams, window)
-        picked = np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1))
+        n = len(grams) - window + 1
+        least, reach = grams, 1
+        while reach < window:  # the least of ever longer windows
+            step = min(reach, window - reach)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            reach += step
+        chosen = np.zeros(len(grams), bool)
+        for i in range(window):
+            chosen[i : i + n] |= grams[i : i + n] == least
+        picked = np.flatnonzero(chosen)
     return picked[grams[picked] != NONE]
