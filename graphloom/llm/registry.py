@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import queries_corpus, queries_text
+from graphloom.llm import queries_code, queries_corpus, queries_text
 
-_MODULES = (queries_text, queries_corpus)
+_MODULES = (queries_text, queries_code, queries_corpus)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
