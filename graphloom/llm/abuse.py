@@ -7,8 +7,8 @@ and inserted characters cost little.  The kernel is approximated from landmark
 sentences (Nyström); because the subsequences are hashed into a fixed number of
 places, the trained machine becomes one weight for each place, and scoring is
 a sum over a sentence's subsequences.  Labels are of documents, so training
-finds out which sentences of a bad document are the bad ones: it is repeated,
-keeping in each round the sentences that the round before took for bad.
+finds out first which sentences of a bad document are the bad ones: those
+whose neighbours under the kernel come from bad documents too.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ from graphloom.llm.confusables import readable, settled
 LETTERS, SPAN, DECAY = 4, 6, 0.8
 #: Hash places, bad landmark sentences to begin with, rounds of training, ridge of the machine.
 PLACES, LANDMARKS, ROUNDS, RIDGE = 2**14, 500, 2, 0.3
+#: Numbers of a sketch; neighbours that are asked about a sentence, and the part of them that must come from bad documents.
+SKETCH, NEIGHBOURS, PART = 1024, 20, 0.8
+#: The machine's value from which a sentence counts: clean sentences are many, so a doubtful one is taken for clean.
+MARGIN = 0.5
 #: Labelled documents of either kind that training looks at, at most, chosen by the hash of their number.
-SAMPLE = 3000
+SAMPLE = 2500
 #: Clean sentences that a round of training adds, at most.
 HARD = 1000
 #: Characters after which a run without sentence ends is cut.
@@ -141,24 +145,18 @@ class Sentences:
         values = np.add.reduceat(total, self.starts) * self.scale() + bias
         return np.where(self.sizes >= LETTERS + 1, values, min(bias, -1.0))
 
-    def hints(self, bad: np.ndarray, clean: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """For every sentence, how much more its subsequences occur in the bad sentences of its group than in the clean: what training starts from."""
-        kind = np.full(len(self.starts), -1)
-        kind[bad], kind[clean] = 0, 1
-        groups = group.max() + 1
-        counts = np.full((2, groups, PLACES), 6.0)  # a rare subsequence hints at nothing
-        for at, place, _ in self.subsequences():
-            of = self.number[at]
-            at, of = at[kind[of] >= 0], of[kind[of] >= 0]
-            counts += np.bincount((kind[of] * groups + group[of]) * PLACES + place[at], minlength=counts.size).reshape(counts.shape)
-        share = counts / counts.sum(axis=2, keepdims=True)
-        odds = np.log(share[0] / share[1]).astype(np.float32).ravel()
-        total, n = np.zeros(len(self.starts)), np.ones(len(self.starts))
-        for at, place, _ in self.subsequences():
-            of = self.number[at]
-            total += np.bincount(of, odds[group[of] * PLACES + place[at]], minlength=len(self.starts))
-            n += np.bincount(of, minlength=len(self.starts))
-        return total / n
+    def sketch(self, chosen: np.ndarray) -> np.ndarray:
+        """The chosen sentences as short vectors of about the same angles as in the kernel's space."""
+        row_of = np.full(len(self.starts), -1)
+        row_of[chosen] = np.arange(len(chosen))
+        out = np.zeros(len(chosen) * SKETCH)
+        for at, place, weight in self.subsequences():
+            at = at[row_of[self.number[at]] >= 0]
+            place = place[at].astype(np.int64)
+            out += np.bincount(row_of[self.number[at]] * SKETCH + place % SKETCH, weight * (2.0 * (place // SKETCH % 2) - 1), minlength=len(out))
+        out = out.reshape(len(chosen), SKETCH).astype(np.float32)
+        out -= out.mean(axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def kernel(self, landmarks: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         """The kernel of the chosen sentences with the landmarks (a row of PLACES weights for each)."""
@@ -208,11 +206,9 @@ def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(texts: Sequence[str], bad: Sequence[bool], language: Sequence[str | None], seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: Sequence[str], bad: Sequence[bool], seed: int = 7) -> tuple[np.ndarray, float]:
     """Place weights and bias of the machine trained on labelled documents.
 
-    language: of each document; it only keeps a language that is frequent in
-    bad documents from looking bad itself.
 
     Without documents of both kinds nothing can be learned, and the machine
     takes every sentence for clean.
@@ -229,39 +225,26 @@ def train(texts: Sequence[str], bad: Sequence[bool], language: Sequence[str | No
     share = frame.drop_duplicates().groupby("key")["bad"].mean()  # reviewers err, so a bad sentence is now and then in a clean document
     one = frame.drop_duplicates(["key", "bad"])
     one = one[one["bad"] == (one["key"].map(share) > 0.6)]
-    positive, negative = (one.index[one["bad"] == kind].to_numpy()[: 4 * SAMPLE] for kind in (True, False))
+    positive, negative = (one.index[one["bad"] == kind].to_numpy()[: 3 * SAMPLE] for kind in (True, False))
     if not len(positive) or not len(negative):
         return np.zeros(PLACES, np.float32), -1.0
-    group = pd.Series([x or "" for x in language])
-    group = pd.factorize(group.where(group.map(group[bad].value_counts()).fillna(0) >= 10, ""))[0]
-    hint = sentences.hints(usable[positive], usable[negative], group[sentences.text_of])[usable]
-    of_group = group[sentences.text_of[usable]]
-    by_group = pd.Series(hint[negative]).groupby(of_group[negative])
-    edge = [by_group.quantile(q).reindex(range(group.max() + 1), fill_value=np.inf).to_numpy() for q in (0.5, 0.995, 0.999)]
-    positive = positive[np.argsort(-hint[positive], kind="stable")]
-    negative = negative[np.argsort(-hint[negative], kind="stable")]
-    place = pd.Series(np.arange(len(positive)), index=frame.loc[positive, "key"])
-    held = frame[frame["bad"] & frame["key"].isin(place.index)]
-    held_at, held_in = place[held["key"]].to_numpy(), held["text"].to_numpy()  # which sentences each bad document holds
-
-    def worst(value: np.ndarray) -> np.ndarray:
-        """Whether a sentence is the worst of a document."""
-        top = pd.Series(value[held_at]).groupby(held_in).transform("max").to_numpy()
-        out = np.zeros(len(value), bool)
-        out[held_at[value[held_at] >= top]] = True
-        return out
-
-    first = worst(hint[positive])
-    at_group = of_group[positive]
-    label = np.where(first & (hint[positive] > edge[1][at_group]) | (hint[positive] > edge[2][at_group]), 1, -1)
-    known = hint[positive] > edge[0][at_group]  # the others look like any clean sentence
-    held_at, held_in = held_at[known[held_at]], held_in[known[held_at]]
-    held_at = (np.cumsum(known) - 1)[held_at]
-    positive, label = positive[known], label[known]
-    may = hint[positive] > edge[1][of_group[positive]]
+    # a sentence of a bad document is bad if its nearest sentences come from bad documents too, or bad documents repeat it
+    pool = np.concatenate([positive, negative])
+    near = sentences.sketch(usable[pool])
+    part = np.zeros(len(positive))
+    for i in range(0, len(positive), 500):
+        likeness = near[i : i + 500] @ near.T
+        closest = np.argpartition(-likeness, NEIGHBOURS, axis=1)[:, : NEIGHBOURS + 1]
+        part[i : i + 500] = ((closest < len(positive)).sum(axis=1) - 1) / NEIGHBOURS
+    times = frame[frame["bad"]].drop_duplicates().groupby("key").size()
+    key = frame.loc[positive, "key"]
+    repeated = ((key.map(times) >= 3) & (key.map(share) >= PART)).to_numpy()
+    label = np.where((part >= PART) | repeated, 1, -1)
+    if not (label > 0).any():
+        return np.zeros(PLACES, np.float32), -1.0
     others = random.permutation(negative)
-    clean = np.unique(np.concatenate([negative[: 2 * HARD], others[: 7 * HARD]]))
-    marks = np.concatenate([random.permutation(positive[label > 0])[:LANDMARKS], negative[: LANDMARKS // 2], others[:LANDMARKS]])
+    clean = others[: 8 * HARD]
+    marks = np.concatenate([random.permutation(positive[label > 0])[:LANDMARKS], others[:LANDMARKS]])
     weights, bias = np.zeros(PLACES, np.float32), -1.0
     for _ in range(ROUNDS):
         marks = np.unique(marks)
@@ -271,10 +254,7 @@ def train(texts: Sequence[str], bad: Sequence[bool], language: Sequence[str | No
         good = value > 1e-6 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])
         x = sentences.kernel(landmarks, usable[np.concatenate([positive, clean])]) @ root
-        for _ in range(3):
-            w = _machine(x, np.concatenate([label, -np.ones(len(clean))]))
-            score = (x @ w[:-1] + w[-1])[: len(positive)]
-            label = np.where(((score > 0) | worst(score) & (score > -0.5)) & may, 1, -1)
+        w = _machine(x, np.concatenate([label, -np.ones(len(clean))]))
         weights, bias = (landmarks @ (root @ w[:-1])).astype(np.float32), float(w[-1])
         # the clean sentences that come out worst take part in the next round
         value = sentences.scores(weights, bias)[usable]
@@ -303,17 +283,17 @@ def _document_scores(texts: Sequence[str], weights: np.ndarray, bias: float) ->
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Up to `sample` documents labelled bad and as many labelled clean: doc_id, text, lang, bad.  Those on which reviewers disagree, or without a label, are left out."""
+    """Up to `sample` documents labelled bad and as many labelled clean: doc_id, text, bad.  Those on which reviewers disagree, or without a label, are left out."""
     judged = labels.filter(F.col("label").isNotNull()).groupBy("doc_id").agg(F.avg((F.col("label") != "clean").cast("int")).alias("share"))
     sure = judged.filter(F.col("share").isin(0.0, 1.0)).select("doc_id", (F.col("share") == 1).alias("bad"))
     order = F.xxhash64("doc_id", F.lit(3))
     few = sure.filter("bad").orderBy(order, "doc_id").limit(sample).unionByName(sure.filter("not bad").orderBy(order, "doc_id").limit(sample))
-    return documents.select("doc_id", "text", "lang").filter(F.coalesce("text", F.lit("")) != "").join(few, "doc_id")
+    return documents.select("doc_id", "text").filter(F.coalesce("text", F.lit("")) != "").join(few, "doc_id")
 
 
 def _trained(key: tuple, table: pa.Table) -> pa.Table:
     table = table.sort_by("doc_id")
-    weights, bias = train([x[:20_000] for x in table.column("text").to_pylist()], table.column("bad").to_pylist(), table.column("lang").to_pylist())
+    weights, bias = train([x[:20_000] for x in table.column("text").to_pylist()], table.column("bad").to_pylist())
     return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias])})
 
 
@@ -335,7 +315,7 @@ def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
         for batch in batches:
             texts = batch.column("text").to_pylist()
             value = _document_scores([undisguised(x) if x else "" for x in texts], machine, bias)
-            score = np.where([bool(x) for x in texts], 1 / (1 + np.exp(-4 * value)), 0.0)
+            score = np.where([bool(x) for x in texts], 1 / (1 + np.exp(-4 * (value - MARGIN))), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(score), pa.array(score > 0.5)], names=["doc_id", "source", "score", "flagged"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, score double, flagged boolean")
