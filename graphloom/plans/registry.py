@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import problems
+from graphloom.plans import graph_queries, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, graph_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
