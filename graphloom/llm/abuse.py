@@ -232,10 +232,11 @@ def train(texts: Sequence[str], bad: Sequence[bool], seed: int = 7) -> tuple[np.
     pool = np.concatenate([positive, negative])
     near = sentences.sketch(usable[pool])
     part = np.zeros(len(positive))
+    asked = min(NEIGHBOURS, len(pool) - 1)
     for i in range(0, len(positive), 500):
-        likeness = near[i : i + 500] @ near.T
-        closest = np.argpartition(-likeness, NEIGHBOURS, axis=1)[:, : NEIGHBOURS + 1]
-        part[i : i + 500] = ((closest < len(positive)).sum(axis=1) - 1) / NEIGHBOURS
+        likeness = near[i : min(i + 500, len(positive))] @ near.T
+        closest = np.argpartition(-likeness, asked, axis=1)[:, : asked + 1]
+        part[i : i + 500] = ((closest < len(positive)).sum(axis=1) - 1) / asked
     times = frame[frame["bad"]].drop_duplicates().groupby("key").size()
     key = frame.loc[positive, "key"]
     repeated = ((key.map(times) >= 3) & (key.map(share) >= PART)).to_numpy()
