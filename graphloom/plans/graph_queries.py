@@ -359,11 +359,11 @@ _STATE = r"""state AS (
 )""".format(", ".join(f"arg_max({x}, (updated_at, ingested_at)) FILTER ({x} IS NOT NULL) AS {x}" for x in graph.ATTRIBUTES))
 _N = (
     "WITH RECURSIVE " + _STATE + r""", n AS MATERIALIZED (
-  SELECT id, label, file_type, replace(source_file, '\', '/') AS source_file, source_location, community, description, tags, epoch_us(created_at) AS at FROM state WHERE gone = TIMESTAMP '9999-01-01'
+  SELECT id, label, file_type, replace(source_file, '\', '/') AS source_file, source_location, community, description, tags, epoch_us(created_at) AS born FROM state WHERE gone = TIMESTAMP '9999-01-01'
   UNION ALL SELECT id, label, file_type, source_file, NULL, NULL, NULL, NULL, 0 FROM shared_nodes
 )"""
 )
-_R = _N + f""", idx AS (SELECT {_NORM.format("id")} AS k, arg_max(id, (at, id)) AS newest, list(DISTINCT id) AS ids FROM n GROUP BY 1), e0 AS (
+_R = _N + f""", idx AS (SELECT {_NORM.format("id")} AS k, arg_max(id, (born, id)) AS newest, list(DISTINCT id) AS ids FROM n GROUP BY 1), e0 AS (
   SELECT * FROM edges WHERE source IS NOT NULL AND target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY ingested_at) = 1
 ), e1 AS MATERIALIZED (
   SELECT e0.edge_id, CASE WHEN list_contains(i.ids, e0.source) THEN e0.source ELSE i.newest END AS source, CASE WHEN list_contains(j.ids, e0.target) THEN e0.target ELSE j.newest END AS target,
@@ -381,7 +381,7 @@ ends AS (SELECT source AS id, target AS other, weight FROM g UNION ALL SELECT ta
 d AS MATERIALIZED (SELECT n.*, coalesce(k, 0) AS degree FROM n LEFT JOIN (SELECT id, count(*) AS k FROM ends GROUP BY id) USING (id))"""
 _BASE = "regexp_extract(coalesce(source_file, ''), '[^/]*$')"
 _FILE = f"(coalesce(label, '') <> '' AND (label = {_BASE} OR (label LIKE '%()' AND degree <= 1)))"
-_GODS = f"SELECT id, label, degree FROM d WHERE NOT {_FILE} ORDER BY degree DESC, at, id LIMIT "
+_GODS = f"SELECT id, label, degree FROM d WHERE NOT {_FILE} ORDER BY degree DESC, born, id LIMIT "
 
 
 def _cases(table_: dict[str, list[str]], value: str, otherwise: str) -> str:
@@ -486,7 +486,7 @@ SELECT community, size, coalesce(n_pairs, 0) AS n_pairs, CASE WHEN size <= 1 THE
     "class_groups": _G + """, o AS (SELECT id FROM n WHERE file_type = 'code' AND coalesce(label, '') <> '' AND label NOT LIKE '%()' AND label NOT LIKE '@%'),
 k AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY extracted_at, edge_id) AS place FROM g WHERE relation = 'contains' AND source IN (SELECT id FROM o)), l AS (SELECT *, count(*) OVER (PARTITION BY source) AS c FROM k WHERE place <= 30)
 SELECT source AS "group", CAST(place AS int) AS place, target AS member FROM l WHERE c >= 2 UNION ALL SELECT DISTINCT source, 0, source FROM l WHERE c >= 2""",
-    "community_groups": _G + """ SELECT community, count(*) AS size, count(*) FILTER (coalesce(file_type, '') <> 'concept' AND coalesce(label, '') NOT LIKE '%.py') AS n_real, array_to_string(list(substr(coalesce(label, ''), 1, 30) ORDER BY degree DESC, at, id)[1:3], ', ') AS label
+    "community_groups": _G + """ SELECT community, count(*) AS size, count(*) FILTER (coalesce(file_type, '') <> 'concept' AND coalesce(label, '') NOT LIKE '%.py') AS n_real, array_to_string(list(substr(coalesce(label, ''), 1, 30) ORDER BY degree DESC, born, id)[1:3], ', ') AS label
 FROM d WHERE community IS NOT NULL GROUP BY community HAVING size >= 3 AND n_real >= 2""",
     "centrality_within": _G + _GROUPS + """, x AS (SELECT id FROM m WHERE side = 'a'), i AS (SELECT * FROM g WHERE source IN (SELECT id FROM x) AND target IN (SELECT id FROM x))
 SELECT id, (SELECT count(*) FROM i WHERE source = x.id) + (SELECT count(*) FROM i WHERE target = x.id) AS degree, CAST(coalesce((SELECT sum(weight) FROM i WHERE source = x.id), 0) AS bigint) AS weighted_degree FROM x""",
