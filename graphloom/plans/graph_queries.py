@@ -285,10 +285,10 @@ def khop_induced_edges(spark, folder):
 
 
 def explain(spark, folder):
-    """The hub's successors by degree."""
+    """The successors, by degree, of the node that has most."""
     nodes, edges = _built(spark, folder)
-    hub = _hub(nodes, edges)
-    after = edges.join(hub.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"), "relation")
+    most = edges.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(1).select("source")
+    after = edges.join(most, "source", "left_semi").select(F.col("target").alias("id"), "relation")
     return graph.degrees(nodes, edges).join(after, "id").orderBy(F.desc("degree"), "id").limit(20).select("id", "label", "relation", "degree")
 
 
@@ -509,7 +509,7 @@ SELECT id, edges_to_a, edges_to_b, in_both, edges_to_a + edges_to_b AS strength
     "question_query": _BFS + " SELECT id, label, depth, degree FROM d JOIN reached USING (id)",
     "khop_neighbors": _NEAR + " SELECT id, depth FROM near",
     "khop_induced_edges": _NEAR + " SELECT source, target, relation, weight FROM g WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)",
-    "explain": _G + f" SELECT d.id, d.label, g.relation, d.degree FROM g JOIN d ON d.id = g.target WHERE g.source = (SELECT id FROM ({_GODS} 1)) ORDER BY d.degree DESC, d.id LIMIT 20",
+    "explain": _G + f" SELECT d.id, d.label, g.relation, d.degree FROM g JOIN d ON d.id = g.target WHERE g.source = (SELECT source FROM g GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ORDER BY d.degree DESC, d.id LIMIT 20",
     "shortest_path_length": _PATH + " SELECT id, depth AS length FROM reached WHERE id IN (SELECT id FROM goal)",
     "shortest_path_nodes": _PATH + ", p AS (SELECT depth AS hop, id FROM reached WHERE id IN (SELECT id FROM goal) UNION ALL SELECT hop, id FROM (SELECT p.hop - 1 AS hop, min(reached.id) AS id FROM p JOIN ways ON ways.b = p.id JOIN reached ON reached.id = ways.a AND reached.depth = p.hop - 1 WHERE p.hop > 0 GROUP BY p.hop)) SELECT hop, id FROM p",
     "connected_components": _G + ", c AS (SELECT id, id AS component FROM n UNION SELECT ways.b, c.component FROM c JOIN ways ON ways.a = c.id WHERE c.component < ways.b) SELECT id, min(component) AS component FROM c GROUP BY id",
