@@ -29,11 +29,11 @@ from graphloom.llm.confusables import readable, settled
 #: Characters of a subsequence, the characters it may lie within, and the weight of each character of stretch.
 LETTERS, SPAN, DECAY = 4, 6, 0.8
 #: Hash places, bad landmark sentences to begin with, rounds of training, ridge of the machine.
-PLACES, LANDMARKS, ROUNDS, RIDGE = 2**14, 500, 2, 0.3
+PLACES, LANDMARKS, ROUNDS, RIDGE = 2**13, 500, 2, 0.3
 #: Numbers of a sketch; neighbours that are asked about a sentence, and the part of them that must come from bad documents.
-SKETCH, NEIGHBOURS, PART = 1024, 20, 0.8
+SKETCH, NEIGHBOURS, PART = 512, 20, 0.75
 #: The machine's value from which a sentence counts: clean sentences are many, so a doubtful one is taken for clean.
-MARGIN = 0.5
+MARGIN = 0.45
 #: Labelled documents of either kind that training looks at, at most, chosen by the hash of their number.
 SAMPLE = 2500
 #: Clean sentences that a round of training adds, at most.
@@ -225,14 +225,14 @@ def train(texts: Sequence[str], bad: Sequence[bool], seed: int = 7) -> tuple[np.
     share = frame.drop_duplicates().groupby("key")["bad"].mean()  # reviewers err, so a bad sentence is now and then in a clean document
     one = frame.drop_duplicates(["key", "bad"])
     one = one[one["bad"] == (one["key"].map(share) > 0.6)]
-    positive, negative = (one.index[one["bad"] == kind].to_numpy()[: 3 * SAMPLE] for kind in (True, False))
+    positive, negative = one.index[one["bad"]].to_numpy()[: 3 * SAMPLE], one.index[~one["bad"]].to_numpy()[: 5 * SAMPLE]
     if not len(positive) or not len(negative):
         return np.zeros(PLACES, np.float32), -1.0
     # a sentence of a bad document is bad if its nearest sentences come from bad documents too, or bad documents repeat it
     pool = np.concatenate([positive, negative])
     near = sentences.sketch(usable[pool])
     part = np.zeros(len(positive))
-    asked = min(NEIGHBOURS, len(pool) - 1)
+    asked = min(NEIGHBOURS, max(5, int(bad.sum()) // 60), len(pool) - 1)  # a kind of sentence has as many others as there are labels for it
     for i in range(0, len(positive), 500):
         likeness = near[i : min(i + 500, len(positive))] @ near.T
         closest = np.argpartition(-likeness, asked, axis=1)[:, : asked + 1]
@@ -243,6 +243,8 @@ def train(texts: Sequence[str], bad: Sequence[bool], seed: int = 7) -> tuple[np.
     label = np.where((part >= PART) | repeated, 1, -1)
     if not (label > 0).any():
         return np.zeros(PLACES, np.float32), -1.0
+    used = (label > 0) | (np.arange(len(label)) < 8 * HARD)  # the sentences are in random order
+    positive, label = positive[used], label[used]
     others = random.permutation(negative)
     clean = others[: 8 * HARD]
     marks = np.concatenate([random.permutation(positive[label > 0])[:LANDMARKS], others[:LANDMARKS]])
