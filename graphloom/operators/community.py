@@ -10,7 +10,7 @@ from graphloom.sources.tables import written
 # The part of all nodes, and the size, beyond which a community is split; cohesion and size of a loose one.
 FRACTION, SPLIT_SIZE, LOOSE, LOOSE_SIZE = 0.25, 10, 0.05, 50
 #: Levels of contraction, and rounds of moves in a level.
-LEVELS, ROUNDS = 3, 4
+LEVELS, ROUNDS = 2, 4
 
 
 def pair_weights(edges: DataFrame) -> DataFrame:

@@ -98,8 +98,8 @@ def orphans(refs: DataFrame, keys: DataFrame, range_keys: int = RANGE_KEYS, slic
     keyed = refs.withColumn("id", normal_id("node_ref")).select("ref_table", "ref_key", "field", "node_ref", "at", micros("at").alias("at_us"), F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
     keyed = keyed.withColumn("at_us", F.coalesce("at_us", F.lit(0))).select("*", in_range)
     slices = keyed.groupBy("range").agg(F.ceil(F.count("*") / slice_references).cast("int").alias("slices"))
-    left = keyed.join(F.broadcast(slices), "range").withColumn("slice", F.pmod(F.xxhash64("ref_key", "field", "node_ref"), "slices").cast("int")).drop("slices")
-    right = keys.select("*", in_range).join(F.broadcast(slices), "range").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
+    left = keyed.join(slices, "range").withColumn("slice", F.pmod(F.xxhash64("ref_key", "field", "node_ref"), "slices").cast("int")).drop("slices")
+    right = keys.select("*", in_range).join(slices, "range").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
     return left.groupBy("range", "slice").cogroup(right.groupBy("range", "slice")).applyInArrow(_probe, _FOUND).distinct()
 
 

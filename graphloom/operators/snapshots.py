@@ -112,7 +112,7 @@ def changes(rows: DataFrame, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
     turns = written(turns, "snapshot-turns")
     known = turns.select("record_type", "turn", "turns")
     roled = (
-        chunked.join(goes_on, ["record_type", "turn", "grp"], "left").join(F.broadcast(known), ["record_type", "turn"])
+        chunked.join(goes_on, ["record_type", "turn", "grp"], "left").join(known, ["record_type", "turn"])
         .select(
             "record_type", "key", "part", "chunk", "turns",
             F.explode(F.array(
@@ -136,7 +136,7 @@ def changes(rows: DataFrame, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
     change = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("before"), "changed")
     return (
         compared.withColumn("change", change).filter(F.col("change").isNotNull())
-        .join(F.broadcast(turns.select("record_type", "turn", "snapshot_id")), ["record_type", "turn"])
+        .join(turns.select("record_type", "turn", "snapshot_id"), ["record_type", "turn"])
         .select("record_type", F.col("key").alias("record_key"), "snapshot_id", "change")
     )
 
