@@ -72,7 +72,10 @@ def _count(encoding, text: str) -> int:
 
 def pieces(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     """For each capacity, what is to be packed: whole documents, and a longer one than the capacity cut into full pieces and a rest."""
-    each = sized.filter("n_tokens > 0").join(F.broadcast(budgets.select("budget_id", "capacity_tokens").filter("capacity_tokens > 0")))
+    capacities = budgets.filter("capacity_tokens > 0").select("budget_id", "capacity_tokens").distinct().orderBy("budget_id").collect()  # a fixed table of a few rows
+    if not capacities:
+        return sized.limit(0).select(F.lit(0).alias("budget_id"), F.lit(0).alias("capacity_tokens"), "doc_id", "source", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_token"), F.lit(0).cast("long").alias("size"))
+    each = sized.filter("n_tokens > 0").withColumn("b", F.explode(F.array(*[F.struct(F.lit(r.budget_id).alias("budget_id"), F.lit(r.capacity_tokens).alias("capacity_tokens")) for r in capacities]))).select("doc_id", "source", "n_tokens", "b.*")
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens"))))
     piece = each.withColumn("piece", cuts).withColumn("start_token", F.col("piece") * F.col("capacity_tokens"))
     return piece.select("budget_id", "capacity_tokens", "doc_id", "source", F.col("piece").cast("int").alias("piece"), "start_token", F.least("capacity_tokens", F.col("n_tokens") - F.col("start_token")).alias("size"))
