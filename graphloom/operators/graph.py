@@ -54,15 +54,27 @@ def upsert_edges(edges: DataFrame, order: Sequence[str] = ("extracted_at", "edge
     weight is the run's length, call_sites are the distinct places in order
     (null for a run of one).  A null relation is equal to itself.
     """
-    by = Window.partitionBy("source", "target").orderBy(*order)
-    fresh = (~F.col("relation").eqNullSafe(F.lag("relation").over(by)) | (F.row_number().over(by) == 1)).cast("int")
-    runs = edges.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by))
-    last = runs.withColumn("last", F.max("run").over(Window.partitionBy("source", "target"))).filter("run = last")
-    key = F.struct(*order)
-    places = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("source_location").isNotNull(), F.struct(*order, "source_location")))), lambda x: x["source_location"]))
-    first = [F.min_by(x, key).alias(x) for x in ("relation", "confidence", "source_file", "source_location", "context", *order)]
-    out = last.groupBy("source", "target").agg(*first, F.count("*").alias("weight"), places.alias("places"))
-    return out.withColumn("call_sites", F.when(F.col("weight") > 1, F.col("places"))).drop("places")
+    pair, key = ["source", "target"], F.struct(*order)
+    rows = edges.withColumn("r", F.coalesce("relation", F.lit("\x00"))).withColumn("o", key)
+    last = rows.groupBy(*pair, "r").agg(F.max("o").alias("o"))  # a pair's relations are few, whatever its rows
+    bounds = last.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("o", "r")), asc=False).alias("l")).select(*pair, F.col("l")[0]["r"].alias("r"), F.try_element_at("l", F.lit(2))["o"].alias("after"))
+    run = rows.join(bounds, [*pair, "r"]).filter(F.col("after").isNull() | (F.col("o") > F.col("after")))
+    first = [F.min_by(x, "o").alias(x) for x in ("relation", "confidence", "source_file", "source_location", "context", *order)]
+    out = run.groupBy(*pair).agg(*first, F.count("*").alias("weight"))
+    each = run.filter("source_location is not null").groupBy(*pair, "source_location").agg(F.min("o").alias("o"))
+    places = each.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "source_location"))), lambda x: x["source_location"]).alias("places"))
+    return out.join(places, pair, "left").withColumn("call_sites", F.when(F.col("weight") > 1, F.coalesce("places", F.array().cast("array<string>")))).drop("places")
+
+
+def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], most: int, slices: int = 32) -> DataFrame:
+    """The first `most` rows of each group, with their place from 1.
+
+    Each group is ranked in slices first, so only slices * most rows of a
+    large group come together.
+    """
+    part = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(slices))
+    few = df.withColumn("_slice", part).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))).filter(F.col("_place") <= most)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= most).drop("_slice", "_place")
 
 
 def relation_edges(edges: DataFrame) -> DataFrame:

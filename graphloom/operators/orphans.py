@@ -10,7 +10,6 @@ slices, and its array, which is of bounded size, goes to each.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
