@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.tokens import HASH_LANGUAGES, language_of, plain, scanner
-from graphloom.llm.winnow import NONE, gram_hashes, winnowed
+from graphloom.llm.winnow import gram_hashes, winnowed
 
 #: Tokens of a gram, and grams of a window: 21 tokens in a row leave a fingerprint.
 GRAM, WINDOW = 12, 10
