@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.gll import ends, grammar
+from graphloom.llm.gll import ends, grammar, islands
 from graphloom.llm.tokens import HASH_LANGUAGES, language_of, plain, scanner
 
 #: Words that a documentation must have beside the function's own name.
@@ -25,43 +25,43 @@ WORDS = 4
 #: A description, without names and numbers, that so many functions share is a template that says nothing about any of them.
 REPEATED = 50
 
-_ISLANDS = """
-Round = ( Inside )
-Square = [ Inside ]
-Curly = { Inside }
-Inside = _ | any Inside | Round Inside | Square Inside | Curly Inside
-Angle = < Angles >
-Angles = _ | inner Angles | Angle Angles | Round Angles | Square Angles | Curly Angles
-Type = Part | Part Type
-"""
+# Sequences recur at their left, so each place of one is visited once.  A curly bracket is a type only where a type must
+# follow (or after Go's struct and interface), so no type takes in a body.
 _GRAMMARS = {
-    "python": grammar(_ISLANDS + """
-Part = name | text | number | . | * | pipe | Square | Round
-Generic = _ | Square
+    "python": grammar("""
+Part = name | text | number | . | * | pipe | [] | ()
+Type = Part | Type Part
+Generic = _ | []
 Result = _ | -> Type
-Function = Generic Round Result :
+Function = Generic () Result :
 """),
-    "javascript": grammar(_ISLANDS + """
-Part = name | text | number | . | pipe | & | ? | => | Angle | Square | Round | Curly
-Generic = _ | Angle
+    "javascript": grammar("""
+One = name | text | number | [] | () | {} | import () | () => Operand | <> () => Operand
+Before = pipe | & | ? | - | keyof | typeof | readonly | unique | infer | asserts | abstract | new
+Operand = One | Before Operand
+Joint = pipe | & | is | extends | ? | :
+Type = Operand | Type Joint Operand | Type . name | Type [] | Type <>
+Generic = _ | <>
 Result = _ | : Type
-Function = Generic Round Result {
+Function = Generic () Result {
 Async = _ | async
 Star = _ | *
 Name = _ | name
-Arrow = Result = Async Generic Round Result => | Result = Async name => | Result = Async function Star Name Generic Round Result {
+Arrow = Result = Async Generic () Result => | Result = Async name => | Result = Async function Star Name Generic () Result {
 """),
-    "java": grammar(_ISLANDS + """
-Part = name | . | , | @ | Angle | Square
+    "java": grammar("""
+Part = name | . | , | @ | <> | []
+Type = Part | Type Part
 Throws = _ | throws Type
-Dims = _ | Square
-Function = Round Dims Throws {
+Dims = _ | Dims []
+Function = () Dims Throws {
 """),
-    "go": grammar(_ISLANDS + """
-Part = name | . | * | <- | , | < | - | Square | Round | Curly
-Generic = _ | Square
+    "go": grammar("""
+Part = word | . | * | <- | , | < | - | [] | () | func () | struct {} | interface {}
+Type = Part | Type Part
+Generic = _ | []
 Result = _ | Type
-Function = Generic Round Result {
+Function = Generic () Result {
 """),
 }
 _GRAMMARS["typescript"] = _GRAMMARS["javascript"]
@@ -73,8 +73,8 @@ _NO_TYPE = {"return", "new", "else", "throw", "case", "do", "assert", "yield", "
 
 _FOUND = "file_id long, name string, language string, start_line int, end_line int, documentation string, n_words int, code string"
 
-
-_BRACKETS = frozenset("()[]{}")
+# Words of Go that begin a type and are no types themselves.
+_GO_TYPES = {"func", "struct", "interface"}
 
 
 def _fits(terminal: str, token: str) -> bool:
@@ -84,8 +84,8 @@ def _fits(terminal: str, token: str) -> bool:
         return token[0] in "'\"`" or token[-1] in "'\"`"
     if terminal == "number":
         return token[0].isdigit()
-    if terminal in ("any", "inner"):
-        return token not in _BRACKETS and (terminal == "any" or token not in ("<", ">"))
+    if terminal == "word":
+        return _fits("name", token) and token not in _GO_TYPES
     if terminal == "pipe":
         return token == "|"
     return token == terminal
@@ -133,6 +133,7 @@ class _File:
                     opened.pop()  # an opened bracket that nothing closes
                 self.match[i] = opened.pop()
                 self.match[self.match[i]] = i
+        self.whole = islands(self.tokens)
 
     def before(self, first: int, name: int) -> list[tuple[str, int, bool]]:
         """The comments before a definition and between its first token and its name."""
@@ -178,7 +179,7 @@ def _javascript(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
     tokens, kinds = file.tokens, file.kinds
     before = tokens[i - 1] if i else ""
     if before == "const" and i + 1 < len(tokens) and tokens[i + 1] in ("=", ":"):
-        if not (after := ends(rules, "Arrow", tokens, i + 1, _fits)):
+        if not (after := ends(rules, "Arrow", file.tokens, i + 1, _fits, file.whole)):
             return None
         first = i - 1
         while first > 0 and tokens[first - 1] in ("export", "default", "declare"):
@@ -192,9 +193,9 @@ def _javascript(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
     first = _marks(file, first)
     if first and "function" not in tokens[first:i] and tokens[first - 1] not in ("{", "}", ";", ",") and (file.lines[first - 1] == file.lines[first] or kinds[first - 1] == "sign" and tokens[first - 1] not in (")", "]")):
         return None
-    if not (after := ends(rules, "Function", tokens, i + 1, _fits)):
+    if not (after := ends(rules, "Function", file.tokens, i + 1, _fits, file.whole)):
         return None
-    return first, min(after) - 1
+    return first, max(after) - 1
 
 
 def _java(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
@@ -212,7 +213,7 @@ def _java(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
             break
     if first and tokens[first - 1] not in ("{", "}", ";"):
         return None
-    after = ends(rules, "Function", tokens, i + 1, _fits)
+    after = ends(rules, "Function", file.tokens, i + 1, _fits, file.whole)
     return (first, max(after) - 1) if after else None
 
 
@@ -222,15 +223,26 @@ def _go(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
         first = file.match[first] - 1
     if first < 0 or file.tokens[first] != "func":
         return None
-    after = ends(rules, "Function", file.tokens, i + 1, _fits)
+    after = {x for x in ends(rules, "Function", file.tokens, i + 1, _fits, file.whole) if _one_line(file, i, x - 1)}
     return (first, max(after) - 1) if after else None
 
 
+def _one_line(file: _File, first: int, last: int) -> bool:
+    """Whether no line ends between two tokens but within brackets: a line end ends Go's heads."""
+    at = first
+    while at < last:
+        end = file.whole.get(at, at) if file.tokens[at] != "<" else at
+        if file.lines[end] + file.tokens[end].count("\n") < file.lines[end + 1]:
+            return False
+        at = end + 1
+    return True
+
+
 def _python(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
     if not i or file.tokens[i - 1] != "def":
         return None
     first = i - 2 if i > 1 and file.tokens[i - 2] == "async" and file.lines[i - 2] == file.lines[i - 1] else i - 1
-    after = ends(rules, "Function", file.tokens, i + 1, _fits)
+    after = ends(rules, "Function", file.tokens, i + 1, _fits, file.whole)
     return (first, min(after) - 1) if after else None
 
 

@@ -206,6 +206,16 @@ def test_functions_against_pythons_own_parser(spark, folder):
         assert {(f[2], f[0]) for f in functions.defined(r.content, r.path, r.language)} == want
 
 
+def test_heads_cost_their_own_length():
+    body = "".join(f"\ta{i} := f{i}(x, y{i}) + z{i}.b\n" for i in range(400))
+    go = "package p\n\n" + "".join(f"// F{i} walks over all of the given parts once.\nfunc (s *S) F{i}(x int) (map[string]struct{{ a int }}, interface{{}}) {{\n{body}}}\n" for i in range(9)) + "func stub(x int) int\nfunc (s *S) Last() {\n}\n"
+    assert [f[:1] + f[2:4] for f in functions.defined(go, "a.go", None)] == [(f"F{i}", 4 + 403 * i, 405 + 403 * i) for i in range(9)] + [("Last", 3631, 3632)]
+    lines = "".join(f"  const v{i} = g{i}({{ a: x }}, [y]);\n" for i in range(400))
+    heads = ["function a(x: number): string | { b: number }[] {", "function c(x: T): x is { d: string } {", "function e<K extends keyof T>(x: K): T extends U ? { f: A } : B[K] {", "function g(x: T): (y: { h: T }) => Promise<{ i: T }> {"]
+    text = "".join(f"{head}\n{lines}}}\n" for head in heads)
+    assert [f[:1] + f[2:4] for f in functions.defined(text, "a.ts", None)] == [(name, 1 + 402 * i, 402 * (i + 1)) for i, name in enumerate("aceg")]
+
+
 def test_functions_of_no_files(spark):
     files = spark.createDataFrame([(1, "a.py", "r", None, None), (2, None, None, None, ""), (3, "x", None, "python", "def f(:")], FILE)
     assert functions.functions(files).count() == 0
