@@ -6,7 +6,9 @@ what the file is made of.  Copies are found by winnowing the normalised
 token stream: a fingerprint counts for third-party code where a good part of
 the repositories that have it keep it in a file marked as third-party; files
 whose own fingerprints are largely such ones are copies, as are files with
-the same token stream as a file that is told otherwise.
+the same token stream as a file that is told otherwise.  Without any marks, a
+file is a copy if most of its fingerprints recur together, in the same group
+of files over several repositories; idioms recur too, but not together.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.tokens import HASH_LANGUAGES, language_of, plain, scanner
 from graphloom.llm.winnow import gram_hashes, winnowed
+from graphloom.sources.tables import written
 
 #: Tokens of a gram, and grams of a window: 21 tokens in a row leave a fingerprint.
 GRAM, WINDOW = 12, 10
@@ -31,7 +34,11 @@ COPIED = 0.8
 REPOSITORIES, MARKED = 2, 0.25
 #: The same token stream in so many repositories is a copied file even if none marks it.
 UNMARKED_REPOSITORIES = 5
-#: Tokens below which two equal token streams say nothing.
+#: The part of a file's fingerprints that must recur together in so many repositories if none marks them, and their number at least.
+TOGETHER, PRINTS = 0.6, 3
+#: Groups that a file whose fingerprints recur takes part in: the least of its recurring fingerprints under so many hashes.
+GROUPS = 16
+#: Tokens below which two equal token streams say nothing; such files are compared by their text.
 TOKENS = 30
 
 # Comment lines by which tools mark their output.
@@ -104,7 +111,11 @@ def _scan(content: str, path: str | None, language: str | None, known: dict[str,
     lines = text.count("\n") + 1
     minified = size >= 200 and blanks < 0.1 * size and names > 0.15 * size and size / lines > 80
     data = size >= 200 and names < 0.03 * size and (literals >= 20 or packed >= 200)
-    return generated, minified, data, marked, stream
+    return generated, minified, data, marked, stream, text.strip()
+
+
+def _digest(content: bytes) -> int | None:
+    return int.from_bytes(blake2b(content, digest_size=8).digest(), "little", signed=True) if content else None
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +129,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = gram_hashes(owner, np.concatenate([*streams, np.zeros(0, np.uint64)]), GRAM)
         at = winnowed(grams, WINDOW)
         prints = [np.unique(x).view(np.int64) for x in np.split(grams[at], np.searchsorted(owner[at], np.arange(1, len(rows))))]
-        digests = [blake2b(x.tobytes(), digest_size=8).digest() for x in streams]
+        digests = [_digest(x.tobytes() if len(x) >= TOKENS else r[5].encode("utf-8", "replace")) for x, r in zip(streams, rows)]
         if len(known) > 200_000:
             known.clear()
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("file_id"), batch.column("repo"), *(pa.array([bool(r[i]) for r in rows]) for i in range(4)),
-                pa.array(sizes.astype(np.int32)), pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array([x.tolist() for x in prints], pa.list_(pa.int64())),
+                pa.array(sizes.astype(np.int32)), pa.array(digests, pa.int64()), pa.array([x.tolist() for x in prints], pa.list_(pa.int64())),
             ],
             names=["file_id", "repo", "generated", "minified", "data", "marked", "n_tokens", "digest", "prints"],
         )
@@ -143,25 +154,49 @@ def kinds(files: DataFrame) -> DataFrame:
     one = scanned.groupBy("file_id").agg(
         F.first("repo").alias("repo"), *(F.bool_or(x).alias(x) for x in ("generated", "minified", "data", "marked")), F.max("n_tokens").alias("n_tokens"), F.first("digest").alias("digest"), F.first("prints").alias("prints")
     )
+    one = written(one, "files")
     prints = one.select("file_id", "repo", "marked", F.explode("prints").alias("print"))
     held = prints.groupBy("print", "repo").agg(F.max("marked").alias("marked")).groupBy("print").agg(F.count("*").alias("repos"), F.count_if("marked").alias("marked_in"))
-    shared = held.filter(F.col("repos") >= REPOSITORIES).select("print", (F.col("marked_in") >= MARKED * F.col("repos")).alias("foreign"), (F.col("repos") >= 2 * REPOSITORIES).alias("often"))
-    told = prints.join(shared, "print", "left").groupBy("file_id").agg(
-        F.count_if(F.coalesce("foreign", F.lit(False))).alias("foreign"), F.count_if(~F.coalesce(~F.col("foreign") & F.col("often"), F.lit(False))).alias("own")
+    shared = held.filter(F.col("repos") >= REPOSITORIES).select(
+        "print", (F.col("marked_in") >= MARKED * F.col("repos")).alias("foreign"), (F.col("repos") >= 2 * REPOSITORIES).alias("often"), (F.col("repos") >= UNMARKED_REPOSITORIES).alias("wide")
     )
-    near = one.join(told, "file_id", "left").withColumn(
-        "vendored", F.col("marked") | F.coalesce((F.col("foreign") >= 3) & (F.col("foreign") >= COPIED * F.col("own")), F.lit(False))
+    told = prints.select("file_id", "print").join(shared, "print", "left").groupBy("file_id").agg(
+        F.count_if(F.coalesce("foreign", F.lit(False))).alias("foreign"), F.count_if(~F.coalesce(~F.col("foreign") & F.col("often"), F.lit(False))).alias("own"),
+        F.count("*").alias("n_prints"), F.collect_list(F.when(F.col("wide"), F.col("print"))).alias("wide"),
     )
-    alike = near.filter(F.col("n_tokens") >= TOKENS)
-    same = alike.groupBy("digest", "repo").agg(*(F.bool_or(x).alias(x) for x in ("vendored", "generated", "minified", "data"))).groupBy("digest").agg(
-        *(F.bool_or(x).alias(f"same_{x}") for x in ("vendored", "generated", "minified", "data")), (F.count("*") >= UNMARKED_REPOSITORIES).alias("everywhere")
+    near = written(one.drop("prints").join(told, "file_id", "left").withColumn(
+        "vendored", F.col("marked") | F.coalesce((F.col("foreign") >= 3) & (F.col("foreign") >= COPIED * F.col("own")), F.lit(False))
+    ).withColumn("wide", F.when((F.size("wide") >= PRINTS) & (F.size("wide") >= TOGETHER * F.col("n_prints")), F.col("wide"))), "files")
+    near = near.join(_together(near.filter("wide is not null")).withColumn("recurs", F.lit(True)), "file_id", "left")
+    near = near.withColumn("vendored", F.col("vendored") | F.coalesce("recurs", F.lit(False))).drop("wide", "recurs")
+    near = written(near, "files")
+    alike = near.filter("digest is not null")
+    same = alike.groupBy("digest", "repo").agg(F.max("n_tokens").alias("n_tokens"), *(F.bool_or(x).alias(x) for x in ("vendored", "generated", "minified", "data"))).groupBy("digest").agg(
+        *(F.bool_or(x).alias(f"same_{x}") for x in ("vendored", "generated", "minified", "data")), ((F.count("*") >= UNMARKED_REPOSITORIES) & (F.max("n_tokens") >= TOKENS)).alias("everywhere")
     )
     same = same.filter("same_vendored or same_generated or same_minified or same_data or everywhere")
-    out = near.join(same, (near["digest"] == same["digest"]) & (near["n_tokens"] >= TOKENS), "left")
+    out = near.join(same, "digest", "left")
     either = lambda x: (F.col(x) | F.coalesce(F.col(f"same_{x}"), F.lit(False))).alias(x)
     return out.select("file_id", "repo", either("generated"), either("minified"), either("data"), (F.col("vendored") | F.coalesce(F.col("same_vendored") | F.col("everywhere"), F.lit(False))).alias("vendored"))
 
 
+def _together(files: DataFrame) -> DataFrame:
+    """The files most of whose fingerprints recur together: file_id.
+
+    files: file_id, repo, n_prints, wide (its fingerprints that occur in
+    several repositories).  Files with the same least fingerprint under one
+    of GROUPS hashes are a group; what counts are the fingerprints that
+    several repositories of the same group have.
+    """
+    least = F.transform(F.sequence(F.lit(1), F.lit(GROUPS)), lambda i: F.struct(i.alias("i"), F.array_min(F.transform("wide", lambda x: F.xxhash64(x, i))).alias("least")))
+    members = files.select("file_id", "repo", "n_prints", "wide", F.explode(least).alias("group"))
+    several = members.select("group", "repo").distinct().groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") >= UNMARKED_REPOSITORIES)
+    each = members.join(several, "group", "left_semi").select("group", "file_id", "repo", "n_prints", F.explode("wide").alias("print"))
+    core = each.select("group", "print", "repo").distinct().groupBy("group", "print").agg(F.count("*").alias("n")).filter(F.col("n") >= UNMARKED_REPOSITORIES)
+    count = each.join(core, ["group", "print"], "left_semi").groupBy("group", "file_id", "n_prints").agg(F.count("*").alias("n"))
+    return count.filter((F.col("n") >= PRINTS) & (F.col("n") >= TOGETHER * F.col("n_prints"))).select("file_id").distinct()
+
+
 def not_by_hand() -> Column:
     """Whether a file of `kinds` is no hand-written one."""
     return F.col("generated") | F.col("minified") | F.col("data") | F.col("vendored")

@@ -108,6 +108,17 @@ def test_kinds_of_files(spark):
     assert handwritten.kinds(files.limit(0)).count() == 0
 
 
+def test_copies_that_no_repository_marks(spark):
+    origin = "".join(f"def part_{i}(root, depth):\n    return root.walk_{i}(depth + {i}, key_{i * 7})\n" for i in range(20))
+    idiom = "try:\n    import json_fast as json\nexcept ImportError:\n    import json\nlog = logging.getLogger(__name__)\n"
+    rows = [(i, f"lib/tool_{i}.py", f"r{i}", "python", idiom + origin.replace(f"walk_{i}(", f"local_{i}(")) for i in range(6)]
+    rows += [(10 + i, f"lib/own_{i}.py", f"r{i}", "python", idiom + "".join(f"class C{i}_{j}:\n    size_{i} = {j}\n    def m{i}_{j}(self, x{j}):\n        return self.n{i}[x{j}]\n" for j in range(9))) for i in range(6)]
+    short = "int f(int a) { return a + 1; }\n"  # below TOKENS
+    rows += [(20, "vendor/f/f.java", "r1", "java", short), (21, "src/f.java", "r2", "java", "\ufeff" + short.replace("\n", "\r\n")), (22, "src/g.java", "r2", "java", short.replace("f", "g")), (23, "vendor/e.py", "r1", "python", ""), (24, "e.py", "r2", "python", "\n")]
+    found = handwritten.kinds(spark.createDataFrame(rows, FILE)).filter(handwritten.not_by_hand()).select("file_id").collect()
+    assert {r.file_id for r in found} == {0, 1, 2, 3, 4, 5, 20, 21, 23}
+
+
 def test_recognises_ambiguous_grammar():
     rules = gll.grammar("S = a | S S | _")
     assert gll.ends(rules, "S", ["a", "a", "b"], 0, lambda t, x: t == x) == {0, 1, 2}
