@@ -133,13 +133,35 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
 
-def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, depth: int = 8) -> DataFrame:
+def distances(ways: DataFrame, start: DataFrame, goal: DataFrame) -> DataFrame:
+    """Breadth-first along undirected ways, to any depth: every node no further than the goal, and its distance: id, depth.
+
+    ways: each in both directions, as `undirected` gives them.  Ends with the step that reaches the goal, or when a step finds no new
+    node.  What is seen is one table, written anew now and then, so that the
+    plan doesn't grow with the path's length.
+    """
+    steps = ways.select("source", "target").filter("source <> target")
+    seen = written(start.select("id").distinct().withColumn("depth", F.lit(0)), "walk")
+    frontier, step = seen, 0
+    while not frontier.isEmpty() and frontier.join(goal.select("id"), "id", "left_semi").isEmpty():
+        step += 1
+        reached = steps.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+        # a neighbour of the frontier is new, in the frontier or one step before it
+        last = seen.filter(F.col("depth") >= step - 2).select("id")
+        frontier = written(reached.join(last, "id", "left_anti").withColumn("depth", F.lit(step)), "walk")
+        seen = seen.unionByName(frontier)
+        if step % 8 == 0:
+            seen = written(seen, "walk")
+    return seen
+
+
+def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame) -> DataFrame:
     """One shortest undirected path from start to goal (one id each): hop, id.  Of equal paths, at every hop from the goal the least id.
 
-    Empty if there is none within depth.
+    Empty if there is none.
     """
-    ways = undirected(edges)
-    far = walk(ways, start, depth)
+    ways = written(undirected(edges), "ways")
+    far = distances(ways, start, goal)
     here = written(far.join(goal.select("id"), "id", "left_semi"), "path")
     path = here
     hops = here.agg(F.max("depth")).first()[0]
@@ -147,6 +169,8 @@ def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, depth: in
         back = ways.join(here.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id")).distinct()
         here = written(far.filter(F.col("depth") == hop).join(back, "id", "left_semi").agg(F.min("id").alias("id")).withColumn("depth", F.lit(hop)), "path")
         path = path.unionByName(here)
+        if hop % 8 == 0:
+            path = written(path, "path")
     return path.select(F.col("depth").alias("hop"), "id")
 
 

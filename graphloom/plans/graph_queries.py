@@ -299,7 +299,7 @@ def _ends(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def shortest_path_length(spark, folder):
     edges, start, goal = _ends(spark, folder)
-    return traversal.walk(traversal.undirected(edges), start, 8).join(goal, "id", "left_semi").select("id", F.col("depth").alias("length"))
+    return traversal.distances(written(traversal.undirected(edges), "ways"), start, goal).join(goal, "id", "left_semi").select("id", F.col("depth").alias("length"))
 
 
 def shortest_path_nodes(spark, folder):

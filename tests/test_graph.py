@@ -64,6 +64,13 @@ def test_neighbours_and_path(spark, walk_edges):
     assert traversal.shortest_path(walk_edges, ids(spark, "x"), ids(spark, "nowhere")).count() == 0
 
 
+def test_path_of_any_length(spark):
+    chain = edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}", "calls", f"L{i}") for i in range(19)] + [("n00", "a", "calls", "L30"), ("z", "y", "calls", "L31")])
+    path = traversal.shortest_path(chain, ids(spark, "n19"), ids(spark, "n00")).orderBy("hop").collect()
+    assert [(r.hop, r.id) for r in path] == [(i, f"n{19 - i:02}") for i in range(20)]
+    assert traversal.shortest_path(chain, ids(spark, "n19"), ids(spark, "z")).count() == 0
+
+
 def test_bridging(spark):
     e = edges_of(spark, [("p", "m", "calls", "1"), ("m", "r", "calls", "1"), ("r", "m", "calls", "1"), ("p", "s", "calls", "1")])
     members = spark.createDataFrame([("p", "a"), ("q", "a"), ("q", "b"), ("r", "b"), ("s", "b")], "id string, side string")
