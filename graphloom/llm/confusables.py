@@ -130,7 +130,7 @@ def _table() -> dict[int, str | None]:
     table: dict[int, str | None] = {}
     for point in range(sys.maxunicode + 1):
         char = chr(point)
-        if 0xAC00 <= point <= 0xD7A3 or 0x4E00 <= point <= 0x9FFF or 0xD800 <= point <= 0xF8FF:
+        if 0xAC00 <= point <= 0xD7A3 or 0x4E00 <= point <= 0x9FFF or 0xD800 <= point <= 0xF8FF or 0x323B0 <= point < 0xE0000:
             continue
         if char.isspace():
             table[point] = " "
@@ -138,7 +138,7 @@ def _table() -> dict[int, str | None]:
             table[point] = None
         elif (plain := _same_look(char)) is not None:
             table[point] = " " if plain.isspace() else plain
-        if point == 0x323AF:
+        if point == 0xE0FFF:
             break
     for line in filter(None, (_LATIN + _SIGNS).split("\n")):
         prototype, looks = line[0], line[2:].strip()

@@ -18,7 +18,8 @@ CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 NONE = np.uint64(2**64 - 1)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+# A tag of any length by its attributes; a short one whatever it holds.  A long text between two signs is no tag.
+_TAG = re.compile(r"""</?[a-zA-Z](?:[^<>]{0,200}|[\w:.-]*+(?:\s++[\w:@-]++(?:\.[\w-]++)*+(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?+)*+\s*+/?)>""")
 _EMPHASIS = str.maketrans("", "", "*~`")
 
 

@@ -28,6 +28,20 @@ def test_other_skeleton(a, b):
     assert confusables.skeleton(a) != confusables.skeleton(b)
 
 
+@pytest.mark.parametrize("sign", ["\ufe0f", "\U000e0001", "\U000e0041", "\U000e007f", "\U000e0100", "\U000e01ef"])
+def test_invisible_signs_leave_no_trace(sign):
+    assert confusables.skeleton(f"par{sign}ser") == "parser"
+    assert confusables.readable(f"par{sign}ser") == "parser"
+    assert winnow.comparable(f"Par{sign}ser") == "parser"
+
+
+def test_tags_of_any_length():
+    assert winnow.comparable(f'one <a href="x" title="{"word " * 200}">two</a>').split() == ["one", "two"]
+    passage = "where x <y holds, we go on. " + "Many words follow. " * 20 + "\n> quoted"
+    assert winnow.comparable(passage).split() == passage.lower().split()
+    assert winnow.comparable("a <b c " * 3).split() == ["a", "<b", "c"] * 3
+
+
 def test_lookalike_pairs(spark):
     schema = "id string, label string, norm_label string, tags array<string>, updated_at timestamp, ingested_at timestamp, label_x string"
     from datetime import datetime
