@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.sources.tables import written
 
 # The part of all nodes, and the size, beyond which a community is split; cohesion and size of a loose one.
 FRACTION, SPLIT_SIZE, LOOSE, LOOSE_SIZE = 0.25, 10, 0.05, 50
-#: Levels of contraction, and rounds of moves in a level.
-LEVELS, ROUNDS = 2, 4
+#: The gain of modularity below which a round or a level is the last.
+GAIN = 1e-4
+#: Levels of contraction, and rounds of moves in a level, after which moves stop whatever is left; that is logged.
+LEVELS, ROUNDS = 10, 10
+#: Parts of the nodes that move one after the other in a round, at first and at most.
+PARTS, MOST_PARTS = 2, 16
+
+log = logging.getLogger(__name__)
 
 
 def pair_weights(edges: DataFrame) -> DataFrame:
@@ -26,40 +34,57 @@ def modularity(pairs: DataFrame, names: DataFrame) -> float:
     return 0.0 if not row.m else row.i / row.m - row.s / row.m**2
 
 
-def _level(pairs: DataFrame, rounds: int) -> DataFrame:
-    """One level of moves: id, c.
+def _moved(pairs: DataFrame, names: DataFrame, strength: DataFrame, total: float, moves: Column) -> DataFrame:
+    """The nodes that may move go to the neighbouring community of greatest gain, of equals the greatest name, and stay where none gains: id, c."""
+    held = names.join(strength, "id").groupBy("c").agg(F.sum("k").alias("held"))
+    into = pairs.filter("a <> b").join(names.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
+    own = names.select("id", "c", F.lit(0.0).alias("w"))
+    options = into.unionByName(own).filter(moves).groupBy("id", "c").agg(F.sum("w").alias("w")).join(held, "c").join(strength, "id").join(names.select("id", F.col("c").alias("now")), "id")
+    gain = F.col("w") - F.col("k") * (F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)) / F.lit(total)
+    choice = options.withColumn("gain", F.round(gain, 9)).groupBy("id").agg(F.max_by("c", F.struct("gain", (F.col("c") == F.col("now")).alias("stay"), "c")).alias("c"))
+    return choice.unionByName(names.filter(~moves))
+
 
-    All nodes look at once for the neighbouring community of greatest gain,
-    of equals the least name; half of them, by a hash that changes each
-    round, may move, so two nodes don't swap for ever.
+def _level(pairs: DataFrame, rounds: int, start: float) -> tuple[DataFrame, float]:
+    """One level of moves: id, c, and the modularity reached from `start`, that of every node alone.
+
+    In a round every node may move once.  The nodes of a part, by a hash that
+    changes each round, look at once, so two nodes don't swap for ever.  A
+    round that loses by it is undone and tried in more parts; the level ends
+    with a round that gains less than GAIN.
     """
     strength = written(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0] or 0.0
-    names = written(strength.select("id", F.col("id").alias("c")), "names")
+    names, reached, parts = written(strength.select("id", F.col("id").alias("c")), "names"), start, PARTS
     for turn in range(rounds):
-        held = names.join(strength, "id").groupBy("c").agg(F.sum("k").alias("held"))
-        into = pairs.filter("a <> b").join(names.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
-        own = names.select("id", "c", F.lit(0.0).alias("w"))
-        options = into.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(held, "c").join(strength, "id").join(names.select("id", F.col("c").alias("now")), "id")
-        gain = F.col("w") - F.col("k") * (F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)) / F.lit(total)
-        choice = options.withColumn("gain", F.round(gain, 9)).groupBy("id", "now").agg(F.max_by("c", F.struct("gain", (F.col("c") == F.col("now")).alias("stay"))).alias("c"))
-        moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
-        names = written(choice.select("id", F.when(moves, F.col("c")).otherwise(F.col("now")).alias("c")), "names")
-    return names
+        after = names
+        for part in range(parts):
+            after = written(_moved(pairs, after, strength, total, F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(parts)) == part), "names")
+        gain = modularity(pairs, after) - reached
+        if gain > 0:
+            names, reached = after, reached + gain
+        if gain < GAIN:
+            if gain >= 0 or parts >= MOST_PARTS:
+                return names, reached
+            parts *= 2
+    log.warning("Louvain: %d rounds of a level done, the last gained %g", rounds, gain)
+    return names, reached
 
 
 def partition(edges: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
     """Communities of the nodes that have edges: id, c (the name of one of its nodes)."""
     pairs = written(pair_weights(edges.filter("source <> target")), "pairs")
-    names = None
+    names = written(pairs.select(F.col("a").alias("id"), F.col("a").alias("c")).distinct(), "names")
+    reached = modularity(pairs, names)
     for _ in range(levels):
-        level = _level(pairs, rounds)
-        names = level if names is None else written(names.withColumnRenamed("c", "was").join(level.withColumnRenamed("id", "was"), "was").select("id", "c"), "names")
+        level, after = _level(pairs, rounds, reached)
+        names = written(names.withColumnRenamed("c", "was").join(level.withColumnRenamed("id", "was"), "was").select("id", "c"), "names")
+        gain, reached = after - reached, after
+        if gain < GAIN:
+            return names
         a, b = level.select(F.col("id").alias("a"), F.col("c").alias("ca")), level.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        smaller = written(pairs.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "pairs")
-        if level.filter("id <> c").isEmpty():
-            break
-        pairs = smaller
+        pairs = written(pairs.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "pairs")
+    log.warning("Louvain: %d levels done, the last gained %g", levels, gain)
     return names
 
 

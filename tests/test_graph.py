@@ -108,6 +108,12 @@ def test_louvain_separates_cliques(spark):
     assert sorted(out) == [0, 1, 2]
 
 
+def test_louvain_goes_on_while_it_gains(spark):
+    ring = [(f"n{i:03}", f"n{(i + 1) % 120:03}", "calls", "1") for i in range(120)]
+    e = graph.upsert_edges(edges_of(spark, ring))
+    assert community.modularity(community.pair_weights(e), community.partition(e)) > 0.75
+
+
 def test_scores(spark):
     nodes = spark.createDataFrame(
         [("n1", "lookup()", "index.py", None, None), ("n2", "Index", "index.py", None, None), ("n3", "score()", "ranker.py", ["index"], "calls Lookup"), ("n4", "other()", "a.py", None, None)],
