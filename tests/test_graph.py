@@ -150,6 +150,14 @@ def test_resolution_tiers(spark):
     assert out == {1: ("m_run", "AMBIGUOUS"), 2: ("m__go", "INFERRED"), 3: ("n_load", "AMBIGUOUS"), 4: ("p_stop_all", "AMBIGUOUS"), 7: ("p_stop_all", "AMBIGUOUS")}
 
 
+def test_resolution_of_alias_chains_and_standard_names(spark):
+    definitions = spark.createDataFrame([("m_slug", "slugify", "m.py", 1), ("m_strip", "strip", "m.py", 2), ("m_parse", "parse", "m.py", 3)], "id string, bare string, source_file string, ord long")
+    calls = spark.createDataFrame([(i, "c", f"c_{n}", "c.py", n) for i, n in enumerate(["aa", "strip", "parse", "loop"])], "call_id int, source string, target string, source_file string, name string")
+    aliases = spark.createDataFrame([("c.py", "aa", "bb"), ("c.py", "bb", "cc"), ("c.py", "cc", "slugify"), ("c.py", "loop", "pool"), ("c.py", "pool", "loop")], "source_file string, alias string, real string")
+    out = {r.call_id: (r.resolved, r.confidence) for r in resolve.resolve(calls, definitions, aliases).collect()}
+    assert out == {0: ("m_slug", "INFERRED"), 1: ("m_strip", "AMBIGUOUS"), 2: ("m_parse", "INFERRED")}
+
+
 SNAP = "snapshot_id int, snapshot_at timestamp, id string, label string, file_type string, source_file string, source_location string, community int, description string, tags array<string>"
 
 
