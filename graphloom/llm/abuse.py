@@ -7,8 +7,13 @@ and inserted characters cost little.  The kernel is approximated from landmark
 sentences (Nyström); because the subsequences are hashed into a fixed number of
 places, the trained machine becomes one weight for each place, and scoring is
 a sum over a sentence's subsequences.  Labels are of documents, so training
-finds out first which sentences of a bad document are the bad ones: those
-whose neighbours under the kernel come from bad documents too.
+finds out which sentences of a bad document are the bad ones: the machine is
+fitted to all of them first, then again and again to those that it takes for
+bad itself, until these stay the same.
+
+Training is spread over tasks: sentences are rows, their kernel with the
+landmarks is computed where they are, and each Newton step sums normal
+equations of the landmarks' size, all that the driver ever sees.
 """
 
 from __future__ import annotations
@@ -19,26 +24,28 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from graphloom.llm.confusables import readable, settled
+from graphloom.sources.tables import written
 
 #: Characters of a subsequence, the characters it may lie within, and the weight of each character of stretch.
 LETTERS, SPAN, DECAY = 4, 6, 0.8
-#: Hash places, bad landmark sentences to begin with, rounds of training, ridge of the machine.
-PLACES, LANDMARKS, ROUNDS, RIDGE = 2**13, 500, 2, 0.3
-#: Numbers of a sketch; neighbours that are asked about a sentence, and the part of them that must come from bad documents.
-SKETCH, NEIGHBOURS, PART = 512, 20, 0.75
-#: The machine's value from which a sentence counts: clean sentences are many, so a doubtful one is taken for clean.
-MARGIN = 0.45
-#: Labelled documents of either kind that training looks at, at most, chosen by the hash of their number.
+#: Hash places, landmark sentences, ridge of the machine.
+PLACES, LANDMARKS, RIDGE = 2**13, 600, 0.3
+#: The machine's value from which a sentence counts.
+MARGIN = 0.3
+#: Labelled bad documents that training looks at, at most, and as many again and once more clean ones, chosen by the hash of their number.
 SAMPLE = 2500
-#: Clean sentences that a round of training adds, at most.
-HARD = 1000
-#: Characters after which a run without sentence ends is cut.
+#: Sentences of bad documents, of clean ones, and of clean ones that came out worst, that a fit takes in at most.
+POOL, CLEAN, HARD = 8000, 12000, 3000
+#: Times that the machine is fitted anew to what it takes for bad, and Newton steps in a fit, after which they stop however much still changes.
+FITS, STEPS = 3, 20
+#: The part of a sentence's documents that must be bad, as reviewers err; its least characters; tasks of a fit.
+PART, LEAST, TASKS = 0.6, 8, 8
+#: Characters of a piece of a run without sentence ends; pieces overlap by half.
 SENTENCE = 240
 #: Characters scored at once.
 CHARS = 400_000
@@ -88,7 +95,10 @@ def _stands() -> np.ndarray:
 
 
 class Sentences:
-    """Sentences of many texts as one array of characters, with their subsequences."""
+    """Sentences of many texts as one array of characters, with their subsequences.
+
+    A sentence longer than SENTENCE is looked at in pieces that overlap by half.
+    """
 
     def __init__(self, texts: Sequence[str]) -> None:
         raw = np.frombuffer(("\n\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -108,14 +118,32 @@ class Sentences:
         drop &= ~first
         text_of = np.zeros(len(raw), np.int32)
         text_of[begins[1:]] = 1
-        text_of = np.cumsum(text_of)[~drop]
-        codes, starts = codes[~drop], np.flatnonzero(first[~drop])
+        self._cut(codes[~drop], np.flatnonzero(first[~drop]), np.cumsum(text_of)[~drop])
+
+    @classmethod
+    def of(cls, pieces: Sequence[str]) -> Sentences:
+        """Pieces that were made before, each a text of its own."""
+        out = cls.__new__(cls)
+        sizes = np.array([len(x) for x in pieces])
+        out._cut(np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(pieces)), sizes))
+        return out
+
+    def _cut(self, codes: np.ndarray, starts: np.ndarray, text_of: np.ndarray) -> None:
         size = np.diff(np.append(starts, len(codes)))
-        if (size > SENTENCE).any():
-            starts = np.unique(np.concatenate([starts, *(np.arange(a, a + n, SENTENCE) for a, n in zip(starts[size > SENTENCE], size[size > SENTENCE]))]))
-        self.codes, self.starts, self.text_of = codes, starts, text_of[starts]
-        self.sizes = np.diff(np.append(starts, len(codes)))
-        self.number = np.repeat(np.arange(len(starts), dtype=np.int32), self.sizes)
+        self.number = np.repeat(np.arange(len(starts), dtype=np.int32), size)
+        ends, long = starts + size, np.flatnonzero(size > SENTENCE)
+        if len(long):
+            inner = [np.arange(starts[i] + SENTENCE // 2, ends[i] - SENTENCE // 2, SENTENCE // 2) for i in long]
+            ends[long] = starts[long] + SENTENCE
+            more = np.concatenate(inner)
+            upto = np.minimum(more + SENTENCE, np.repeat(starts[long] + size[long], [len(x) for x in inner]))
+            order = np.argsort(np.concatenate([starts, more]), kind="stable")
+            starts, ends = np.concatenate([starts, more])[order], np.concatenate([ends, upto])[order]
+        self.codes, self.starts, self.text_of, self.sizes = codes, starts, text_of[starts], ends - starts
+
+    def pieces(self) -> list[str]:
+        whole = self.codes.tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[a : a + n] for a, n in zip(self.starts, self.sizes)]
 
     def subsequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """For each way to leave gaps: where the subsequences begin, their places, and their weight."""
@@ -142,132 +170,169 @@ class Sentences:
             gain = weights[place]
             gain[self.number[: len(place)] != self.number[len(self.codes) - len(place) :]] = 0
             total[: len(place)] += np.float32(weight) * gain
-        values = np.add.reduceat(total, self.starts) * self.scale() + bias
+        upto = np.append(0.0, np.cumsum(total, dtype=np.float64))
+        values = (upto[self.starts + self.sizes] - upto[self.starts]) * self.scale() + bias
         return np.where(self.sizes >= LETTERS + 1, values, min(bias, -1.0))
 
-    def sketch(self, chosen: np.ndarray) -> np.ndarray:
-        """The chosen sentences as short vectors of about the same angles as in the kernel's space."""
-        row_of = np.full(len(self.starts), -1)
-        row_of[chosen] = np.arange(len(chosen))
-        out = np.zeros(len(chosen) * SKETCH)
-        for at, place, weight in self.subsequences():
-            at = at[row_of[self.number[at]] >= 0]
-            place = place[at].astype(np.int64)
-            out += np.bincount(row_of[self.number[at]] * SKETCH + place % SKETCH, weight * (2.0 * (place // SKETCH % 2) - 1), minlength=len(out))
-        out = out.reshape(len(chosen), SKETCH).astype(np.float32)
-        out -= out.mean(axis=0)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-    def kernel(self, landmarks: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """The kernel of the chosen sentences with the landmarks (a row of PLACES weights for each)."""
-        row_of = np.full(len(self.starts), -1)
-        row_of[chosen] = np.arange(len(chosen))
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces made before: each subsequence's piece, place and weight, by piece."""
         rows, places, weights = [], [], []
         for at, place, weight in self.subsequences():
-            at = at[row_of[self.number[at]] >= 0]
-            rows.append(row_of[self.number[at]])
+            rows.append(self.number[at])
             places.append(place[at])
             weights.append(np.full(len(at), weight, np.float32))
-        row, place, weight = map(np.concatenate, (rows, places, weights))
+        row, place, weight = map(np.concatenate, (rows, places, weights)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.float32))
         order = np.argsort(row, kind="stable")
-        row, place, weight = row[order], place[order].astype(np.int64), weight[order]
-        out = np.zeros((len(chosen), landmarks.shape[1]), np.float32)
-        for a in range(0, len(chosen), 500):
-            b = min(a + 500, len(chosen))
+        return row[order].astype(np.int64), place[order].astype(np.int64), weight[order]
+
+    def counts(self) -> Iterator[np.ndarray]:
+        """Of pieces made before, some hundred at a time: the weight of their subsequences in each place, scaled."""
+        row, place, weight = self.places()
+        scale = self.scale().astype(np.float32)
+        for a in range(0, len(self.starts), 500):
+            b = min(a + 500, len(self.starts))
             i, j = np.searchsorted(row, [a, b])
-            counts = np.bincount((row[i:j] - a) * PLACES + place[i:j], weight[i:j], minlength=(b - a) * PLACES)
-            out[a:b] = counts.reshape(b - a, PLACES).astype(np.float32) @ landmarks
-        return out * self.scale()[chosen, None]
-
-    def spread(self, chosen: np.ndarray) -> np.ndarray:
-        """The chosen sentences as landmarks: their subsequences by place, one column each."""
-        out = np.zeros((PLACES, len(chosen)), np.float32)
-        row_of = np.full(len(self.starts), -1)
-        row_of[chosen] = np.arange(len(chosen))
-        for at, place, weight in self.subsequences():
-            at = at[row_of[self.number[at]] >= 0]
-            np.add.at(out, (place[at], row_of[self.number[at]]), np.float32(weight))
-        return out * self.scale()[chosen]
+            count = np.bincount((row[i:j] - a) * PLACES + place[i:j], weight[i:j], minlength=(b - a) * PLACES)
+            yield count.reshape(b - a, PLACES).astype(np.float32) * scale[a:b, None]
+
+
+class _Landmarks:
+    """Landmark sentences as their subsequences by place, and the map from kernel values to features."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.pieces = pieces
+        spread = self.spread()
+        value, vector = np.linalg.eigh((spread @ spread.T).astype(np.float64))
+        good = value > 1e-6 * value[-1]
+        self.root = vector[:, good] / np.sqrt(value[good])
+
+    def spread(self) -> np.ndarray:
+        return np.concatenate(list(Sentences.of(self.pieces).counts()))
+
+    def machine(self, w: np.ndarray) -> tuple[np.ndarray, float]:
+        """The weights of the features as one weight for each place, and the bias."""
+        return ((self.root @ w[:-1]) @ self.spread()).astype(np.float32), float(w[-1])
+
+    def features(self, pool: DataFrame) -> DataFrame:
+        """The pool's rows (sentence, bad, n) with their features: bad, n, x."""
+        pieces, root = self.pieces, self.root.astype(np.float32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            onto = np.concatenate(list(Sentences.of(pieces).counts())).T @ root
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.concatenate([count @ onto for count in Sentences.of(batch.column("sentence").to_pylist()).counts()])
+                    yield pa.RecordBatch.from_arrays([batch.column("bad"), batch.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], names=["bad", "n", "x"])
+
+        return written(pool.repartition(TASKS).mapInArrow(run, "bad boolean, n long, x binary"), "abuse-features")
+
+
+def _equations(w: np.ndarray, labels: np.ndarray | None):
+    """A function over batches of features: the sums of the rows that a Newton step from w is active on, as one row of bytes.
 
+    labels: the weights of the fit before, by which the sentences of bad
+    documents are bad ones where its value is above 0, and take no part
+    elsewhere; clean ones above 1 are taken for errors of reviewers.
+    """
 
-def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a squared-hinge support vector machine, by Newton steps on its active rows."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], RIDGE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = np.zeros((len(w), len(w))), np.zeros(len(w))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, -1)
+            x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+            bad = batch.column("bad").to_numpy(zero_copy_only=False)
+            y, n = np.where(bad, 1.0, -1.0), batch.column("n").to_numpy().astype(np.float64)
+            use = np.ones(len(x), bool)
+            if labels is not None:
+                before = x @ labels
+                use = np.where(bad, before > 0, before < 1)
+            use &= y * (x @ w) < 1
+            rows = x[use]
+            weighed = rows * n[use, None].astype(np.float32)
+            left += weighed.T @ rows
+            right += weighed.T @ y[use].astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["left", "right"])
+
+    return run
+
+
+def _fit(features: DataFrame, size: int, labels: np.ndarray | None) -> np.ndarray:
+    """Weights of a squared-hinge support vector machine, by Newton steps."""
+    ridge = np.full(size + 1, RIDGE)
     ridge[-1] = 1e-3
-    before = None
-    for _ in range(20):
-        active = y * (x @ w) < 1
-        if before is not None and (active == before).all():
+    w = np.zeros(size + 1)
+    for _ in range(STEPS):
+        parts: list[Row] = features.mapInArrow(_equations(w, labels), "left binary, right binary").collect()  # a task's sums each, of the landmarks' size
+        left, right = (sum(np.frombuffer(p[name], np.float64) for p in parts) for name in ("left", "right"))
+        before, w = w, np.linalg.solve(left.reshape(size + 1, -1) + np.diag(ridge), right)
+        if np.abs(w - before).max() <= 1e-3 * np.abs(w).max():
             break
-        before = active
-        w = np.linalg.solve(x[active].T @ x[active] + np.diag(ridge), x[active].T @ y[active])
     return w
 
 
-def train(texts: Sequence[str], bad: Sequence[bool], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Place weights and bias of the machine trained on labelled documents.
+def _machine(pool: DataFrame, marks: list[str], again: bool) -> tuple[np.ndarray, float]:
+    """A machine fitted to a pool of sentences; again: and once more to those of its bad ones that it takes for bad."""
+    landmarks = _Landmarks(marks)
+    features, size = landmarks.features(pool), landmarks.root.shape[1]
+    w = _fit(features, size, None)
+    return landmarks.machine(_fit(features, size, w) if again else w)
+
+
+_CLEAN_MACHINE = np.zeros(PLACES, np.float32), -1.0
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sentences = Sentences([undisguised(x) for x in batch.column("text").to_pylist()])
+            of, pieces = pa.array(sentences.text_of), pa.array(sentences.pieces())
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("bad").take(of), pieces], names=["doc_id", "bad", "sentence"])
+            yield out.filter(pa.array(sentences.sizes >= LEAST))
+
 
+def sentences(judged: DataFrame) -> DataFrame:
+    """The distinct sentences of labelled documents (doc_id, text, bad): sentence, n (its documents), bad (whether most of them are)."""
+    each = judged.mapInArrow(_pieces, "doc_id long, bad boolean, sentence string").distinct()
+    return each.groupBy("sentence").agg(F.count("*").alias("n"), (F.avg(F.col("bad").cast("int")) > PART).alias("bad"))
+
+
+def train(judged: DataFrame) -> tuple[np.ndarray, float]:
+    """Place weights and bias of the machine trained on labelled documents: doc_id, text, bad.
 
     Without documents of both kinds nothing can be learned, and the machine
     takes every sentence for clean.
     """
-    bad = np.asarray(bad, bool)
-    if not bad.any() or bad.all():
-        return np.zeros(PLACES, np.float32), -1.0
-    sentences = Sentences([undisguised(x) for x in texts])
-    usable = np.flatnonzero(sentences.sizes >= 12)
-    keys = [sentences.codes[a : a + n].tobytes() for a, n in zip(sentences.starts[usable], sentences.sizes[usable])]
-    of_bad = bad[sentences.text_of[usable]]
-    random = np.random.default_rng(seed)
-    frame = pd.DataFrame({"key": keys, "bad": of_bad, "text": sentences.text_of[usable]}).iloc[random.permutation(len(usable))]
-    share = frame.drop_duplicates().groupby("key")["bad"].mean()  # reviewers err, so a bad sentence is now and then in a clean document
-    one = frame.drop_duplicates(["key", "bad"])
-    one = one[one["bad"] == (one["key"].map(share) > 0.6)]
-    positive, negative = one.index[one["bad"]].to_numpy()[: 3 * SAMPLE], one.index[~one["bad"]].to_numpy()[: 5 * SAMPLE]
-    if not len(positive) or not len(negative):
-        return np.zeros(PLACES, np.float32), -1.0
-    # a sentence of a bad document is bad if its nearest sentences come from bad documents too, or bad documents repeat it
-    pool = np.concatenate([positive, negative])
-    near = sentences.sketch(usable[pool])
-    part = np.zeros(len(positive))
-    asked = min(NEIGHBOURS, max(5, int(bad.sum()) // 60), len(pool) - 1)  # a kind of sentence has as many others as there are labels for it
-    for i in range(0, len(positive), 500):
-        likeness = near[i : min(i + 500, len(positive))] @ near.T
-        closest = np.argpartition(-likeness, asked, axis=1)[:, : asked + 1]
-        part[i : i + 500] = ((closest < len(positive)).sum(axis=1) - 1) / asked
-    times = frame[frame["bad"]].drop_duplicates().groupby("key").size()
-    key = frame.loc[positive, "key"]
-    repeated = ((key.map(times) >= 3) & (key.map(share) >= PART)).to_numpy()
-    label = np.where((part >= PART) | repeated, 1, -1)
-    if not (label > 0).any():
-        return np.zeros(PLACES, np.float32), -1.0
-    used = (label > 0) | (np.arange(len(label)) < 8 * HARD)  # the sentences are in random order
-    positive, label = positive[used], label[used]
-    others = random.permutation(negative)
-    clean = others[: 8 * HARD]
-    marks = np.concatenate([random.permutation(positive[label > 0])[:LANDMARKS], others[:LANDMARKS]])
-    weights, bias = np.zeros(PLACES, np.float32), -1.0
-    for _ in range(ROUNDS):
-        marks = np.unique(marks)
-        landmarks = sentences.spread(usable[marks])
-        base = sentences.kernel(landmarks, usable[marks]).astype(np.float64)
-        value, vector = np.linalg.eigh((base + base.T) / 2)
-        good = value > 1e-6 * value[-1]
-        root = vector[:, good] / np.sqrt(value[good])
-        x = sentences.kernel(landmarks, usable[np.concatenate([positive, clean])]) @ root
-        w = _machine(x, np.concatenate([label, -np.ones(len(clean))]))
-        weights, bias = (landmarks @ (root @ w[:-1])).astype(np.float32), float(w[-1])
-        # the clean sentences that come out worst take part in the next round
-        value = sentences.scores(weights, bias)[usable]
-        clean = clean[value[clean] < 1]  # the others are taken for errors of reviewers
-        hard = negative[np.argsort(-value[negative], kind="stable")]
-        hard = hard[value[hard] < 1]
-        clean = np.union1d(clean, hard[: 2 * HARD])
-        missed = random.permutation(positive[(label > 0) & (value[positive] < 0)])
-        marks = np.concatenate([marks, hard[: LANDMARKS // 2], missed[: LANDMARKS // 2]])
-    return weights, bias
+    told = written(sentences(judged), "abuse-sentences")
+    order = F.xxhash64("sentence", F.lit(3))
+    often = told.filter("bad").orderBy(F.desc("n"), order, "sentence").limit(POOL)
+    clean = written(told.filter("not bad").orderBy(order, "sentence").limit(CLEAN), "abuse-clean")
+    first = lambda df, n, *by: [r.sentence for r in df.orderBy(*by, "sentence").limit(n).collect()]  # noqa: E731  # landmarks: a bounded number
+    marks = [first(told.filter("bad"), LANDMARKS // 2, order), first(told.filter("not bad"), LANDMARKS // 2, order)]
+    if not all(marks):
+        return _CLEAN_MACHINE
+    machine = _machine(often.unionByName(clean), [*marks[0], *marks[1]], True)
+    for _ in range(FITS):  # anew, on the sentences that the machine takes for bad, and the clean ones it is wrong about
+        valued = written(told.repartition(TASKS).mapInArrow(_valued(*machine), "sentence string, n long, bad boolean, value double"), "abuse-values")
+        found = valued.filter("bad and value > 0").orderBy(F.desc("value"), "sentence").limit(POOL)
+        hard = valued.filter("not bad and value < 1").orderBy(F.desc("value"), "sentence").limit(HARD)
+        near = [first(valued.filter("bad and value > 0"), LANDMARKS // 2, order), first(hard, LANDMARKS // 4, F.desc("value")), marks[1][: LANDMARKS // 4]]
+        if not near[0]:
+            return _CLEAN_MACHINE
+        right = valued.filter("not bad and value < 1").join(clean.select("sentence"), "sentence", "left_semi")  # the others are taken for errors of reviewers
+        machine = _machine(found.unionByName(hard).unionByName(right).select("sentence", "n", "bad").distinct(), sorted(set().union(*near)), False)
+    return machine
+
+
+def _valued(weights: np.ndarray, bias: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                value = Sentences.of(batch.column("sentence").to_pylist()).scores(weights, bias)
+                yield pa.RecordBatch.from_arrays([batch.column("sentence"), batch.column("n"), batch.column("bad"), pa.array(value, pa.float64())], names=["sentence", "n", "bad", "value"])
+
+    return run
 
 
 def _document_scores(texts: Sequence[str], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -286,32 +351,23 @@ def _document_scores(texts: Sequence[str], weights: np.ndarray, bias: float) ->
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Up to `sample` documents labelled bad and as many labelled clean: doc_id, text, bad.  Those on which reviewers disagree, or without a label, are left out."""
+    """Up to `sample` documents labelled bad and twice as many labelled clean: doc_id, text, bad.  Those on which reviewers disagree, or without a label, are left out."""
     judged = labels.filter(F.col("label").isNotNull()).groupBy("doc_id").agg(F.avg((F.col("label") != "clean").cast("int")).alias("share"))
     sure = judged.filter(F.col("share").isin(0.0, 1.0)).select("doc_id", (F.col("share") == 1).alias("bad"))
     order = F.xxhash64("doc_id", F.lit(3))
-    few = sure.filter("bad").orderBy(order, "doc_id").limit(sample).unionByName(sure.filter("not bad").orderBy(order, "doc_id").limit(sample))
+    few = sure.filter("bad").orderBy(order, "doc_id").limit(sample).unionByName(sure.filter("not bad").orderBy(order, "doc_id").limit(2 * sample))
     return documents.select("doc_id", "text").filter(F.coalesce("text", F.lit("")) != "").join(few, "doc_id")
 
 
-def _trained(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("doc_id")
-    weights, bias = train([x[:20_000] for x in table.column("text").to_pylist()], table.column("bad").to_pylist())
-    return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias])})
-
-
 def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Every document with its score: doc_id, source, score (0 to 1), flagged.
 
-    The machine is trained in one task on a sample of labelled documents of
-    bounded size; every document is then scored over its whole text.  Null
-    and empty texts have score 0.  flagged: the score is above a half.
+    The machine is trained on a sample of labelled documents of bounded
+    number, whole texts; every document is then scored over its whole text.
+    Null and empty texts have score 0.  flagged: the score is above a half.
     """
-    from graphloom.sources.tables import written
-
-    model = written(labelled(documents, labels, sample).groupBy(F.lit(0).alias("all")).applyInArrow(_trained, "weights binary, bias double"), "abuse-machine").collect()
-    weights, bias = (model[0].weights, model[0].bias) if model else (np.zeros(PLACES, np.float32).tobytes(), -1.0)
-    shared = documents.sparkSession.sparkContext.broadcast(bytes(weights))  # PLACES numbers, whatever the data
+    weights, bias = train(labelled(documents, labels, sample))
+    shared = documents.sparkSession.sparkContext.broadcast(weights.tobytes())  # PLACES numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = np.frombuffer(shared.value, np.float32)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -270,6 +271,31 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(sized.limit(0), budgets)).count() == 0
 
 
+@pytest.mark.parametrize("target", [None, {"a": 0.2, "b": 0.2, "c": 0.3, "d": 0.3}])
+def test_containers_keep_the_mixture(spark, target):
+    rng = random.Random(4)
+    weights = {"a": 40, "b": 30, "c": 20, "d": 10}
+    sized = [(i, source, int(rng.lognormvariate(5, 0.6)) + 1) for i, source in enumerate(s for s, n in weights.items() for _ in range(60 * n))]
+    items = packing.pieces(spark.createDataFrame(sized, "doc_id long, source string, n_tokens long"), spark.createDataFrame([(1, "m", 5000)], "budget_id int, name string, capacity_tokens int"))
+    placed = packing.pack(items, slice_items=1500, target=target)
+    assert placed.count() == len(sized)
+    full = packing.containers(placed, target).collect()
+    assert sum(r.unused for r in full) <= 0.02 * 5000 * len(full)
+    distances = sorted(r.distance for r in full)
+    if target is None:  # all sources last to the end
+        assert sum(distances) / len(full) <= 0.1
+    else:  # half of what is asked for lasts for a good part of the containers
+        assert distances[len(full) // 4] <= 0.1
+
+
+def test_long_texts_are_sized_whole(monkeypatch):
+    encoding = packing._encoding(packing.TOKENIZER)
+    rng = random.Random(6)
+    text = "".join(rng.choice(["word", "  ", " ", "\n", "\n\n  ", "자동", "12", "..,", "it's", "\t"]) for _ in range(5000)) + "x" * 700
+    monkeypatch.setattr(packing, "LONG", 300)
+    assert packing._count(encoding, text) == len(encoding.encode_ordinary(text))
+
+
 # Abuse
 
 
@@ -284,7 +310,7 @@ def test_disguises_leave_the_score(spark):
             lines.insert(1, bad[i // 4 % 2].format(nouns[i // 8 % 8]))
         texts.append("\n".join(lines))
         labels.append(i % 4 == 0)
-    weights, bias = abuse.train(texts, labels)
+    weights, bias = abuse.train(spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(zip(texts, labels))], "doc_id long, text string, bad boolean"))
     value = lambda t: abuse._document_scores([abuse.undisguised(t)], weights, bias)[0]
     assert value("The index keeps two parcels of the saffron table open.") < 0 < value("you are a stupid moron and so is your saffron.")
     assert value("you are a stuuuupid m.o.r.o.n and so is your saffron.") > 0 and value("yоu аre a stup1d m0ron and so is your saffron.") > 0
@@ -297,14 +323,29 @@ def test_disguises_leave_the_score(spark):
     assert abuse.scores(d.limit(0), judged.limit(0)).count() == 0
 
 
-def test_held_out_accuracy(spark, folder):
-    d, labels = spark.read.parquet(f"{folder}/../sf0.1/documents.parquet"), spark.read.parquet(f"{folder}/../sf0.1/moderation_labels.parquet")
+def test_pieces_of_long_sentences():
+    run = "the old index " * 60 + "you are a stupid moron " + "keeps the table " * 60
+    sentences = abuse.Sentences(["Short one. " + run, "Another."])
+    assert [p for p in map(str.strip, sentences.pieces()) if p and len(p) < 20] == ["Short one.", "Another."]
+    assert max(sentences.sizes) == abuse.SENTENCE and set(sentences.text_of) == {0, 1}
+    assert any("you are a stupid moron" in p for p in sentences.pieces())
+    weights = np.random.default_rng(0).normal(size=abuse.PLACES).astype(np.float32)
+    again = abuse.Sentences.of(sentences.pieces()).scores(weights, 0.0)
+    whole = [i for i, n in enumerate(sentences.sizes) if 4 < n < 20]
+    assert len(whole) == 2 and np.allclose(sentences.scores(weights, 0.0)[whole], again[whole], atol=1e-3)
+
+
+def test_held_out_accuracy(spark):
+    large = Path("/root/testdata/check_l")
+    folder = large if large.exists() else Path("/root/testdata/sf0.1")
+    labels = spark.read.parquet(f"{folder}/moderation_labels.parquet")
+    d = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
-    judged = labels.filter("label is not null").groupBy("doc_id").agg(F.avg((F.col("label") != "clean").cast("int")).alias("share")).filter("share in (0, 1)").filter(part == 0)
+    judged = labels.filter("label is not null").groupBy("doc_id").agg(F.avg((F.col("label") != "clean").cast("int")).alias("share"), F.count("*").alias("n")).filter("share in (0, 1) and n > 1").filter(part == 0)  # two reviewers agree
     scored = abuse.scores(d, labels.filter(part != 0)).join(judged, "doc_id").collect()
     hit = sum(r.flagged and r.share == 1 for r in scored)
-    assert hit / max(1, sum(r.share == 1 for r in scored)) > 0.5
-    assert sum(not r.flagged for r in scored if r.share == 0) / sum(r.share == 0 for r in scored) > 0.85
+    assert hit >= 0.9 * sum(r.share == 1 for r in scored)
+    assert sum(not r.flagged for r in scored if r.share == 0) >= 0.98 * sum(r.share == 0 for r in scored)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
