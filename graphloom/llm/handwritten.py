@@ -1,8 +1,9 @@
 """Which source files nobody wrote by hand: tool output, minified code, copies of third-party code, and data saved as code.
 
 Each file is scanned once.  Tool output is told by its mark (a comment line
-of its own, or the name of the file or folder), minified code and data by
-what the file is made of.  Copies are found by winnowing the normalised
+of its own, or the name of the file or folder), or by repeating itself: the
+fingerprints of its tokens without names and values recur within the file.
+Minified code and data are told by what the file is made of.  Copies are found by winnowing the normalised
 token stream: a fingerprint counts for third-party code where a good part of
 the repositories that have it keep it in a file marked as third-party; files
 whose own fingerprints are largely such ones are copies, as are files with
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tokens import HASH_LANGUAGES, language_of, plain, scanner
-from graphloom.llm.winnow import gram_hashes, winnowed
+from graphloom.llm.tokens import HASH_LANGUAGES, language_of, opens_line, plain, scanned
+from graphloom.llm.winnow import NONE, gram_hashes, winnowed
 from graphloom.sources.tables import written
 
 #: Tokens of a gram, and grams of a window: 21 tokens in a row leave a fingerprint.
@@ -38,6 +39,8 @@ UNMARKED_REPOSITORIES = 5
 TOGETHER, PRINTS = 0.6, 3
 #: Groups that a file whose fingerprints recur takes part in: the least of its recurring fingerprints under so many hashes.
 GROUPS = 16
+#: The part of distinct grams, without names and values, below which a file of so many tokens and more repeats itself as only a tool does.
+REPEATS, REPEATING = 0.2, 60
 #: Tokens below which two equal token streams say nothing; such files are compared by their text.
 TOKENS = 30
 
@@ -63,55 +66,42 @@ _FEATURES = "file_id long, repo string, generated boolean, minified boolean, dat
 
 
 def _scan(content: str, path: str | None, language: str | None, known: dict[str, int]) -> tuple:
-    """What one file is made of, and its token stream as hashes."""
+    """What one file is made of, its token stream as hashes, and the stream without names and values."""
     text = plain(content)
     place = (path or "").replace("\\", "/")
     hashes = language_of(path, language, text) in HASH_LANGUAGES
     generated, marked = bool(_GENERATED_PATH.search(place)), bool(_VENDORED_PATH.search(place))
-    stream: list[int] = []
-    names = blanks = literals = packed = comments = longest = 0
-    begun = True  # nothing but blanks so far on this line
-    header = True
-    for m in scanner(hashes).finditer(text):
-        kind, token = m.lastgroup, m.group()
-        if kind == "line":
-            begun = True
-            blanks += 1
-            continue
-        if kind == "blank":
-            blanks += len(token)
-            continue
+    kinds, tokens, starts = scanned(text, hashes)
+    header = True  # as long as nothing but comments and a module's docstring has come
+    for kind, token, start in zip(kinds, tokens, starts):
         if kind == "comment":
-            comments += len(token)
-            if begun:
-                for line in token.split("\n"):
-                    generated = generated or bool(_GENERATED.search(line))
-                    marked = marked or header and bool(_VENDORED.search(line))
-            continue
-        if kind == "name":
-            names += len(token)
-        elif kind == "number":
-            literals += 1
-        elif kind == "text":
-            literals += 1
-            longest = max(longest, len(token))
-            packed += len(token) if len(token) > 40 and not re.search(r"\s", token) else 0
-            if begun and header and hashes and token[-1:] in "'\"" and len(token) > 6:  # a module's docstring
-                head = token.split("\n")
-                generated = generated or any(_GENERATED.search(x) for x in head[:3])
-        if kind != "text" or not begun:
-            header = False
-        begun = False
-        shape = "0" if kind == "number" else token
-        value = known.get(shape)
-        if value is None:
-            value = known[shape] = int.from_bytes(blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        stream.append(value)
-    size = len(text) - comments
+            if opens_line(text, start):
+                lines = token.split("\n")
+                generated = generated or any(map(_GENERATED.search, lines))
+                marked = marked or header and any(map(_VENDORED.search, lines))
+        elif header:
+            if header := kind == "text" and opens_line(text, start):
+                generated = generated or hashes and len(token) > 6 and any(map(_GENERATED.search, token.split("\n")))
+    code = [(kind, token) for kind, token in zip(kinds, tokens) if kind != "comment"]
+    texts = [token for kind, token in code if kind == "text"]
+    names = sum(len(token) for kind, token in code if kind == "name")
+    literals = len(texts) + sum(kind == "number" for kind, _ in code)
+    packed = sum(len(x) for x in texts if len(x) > 40 and not any(map(str.isspace, x)))
+    size = len(text) - sum(len(token) for kind, token in zip(kinds, tokens) if kind == "comment")
+    blanks = size - sum(len(token) for _, token in code)
+
+    def hashed(shapes: list[str]) -> list[int]:
+        for shape in set(shapes):
+            if shape not in known:
+                known[shape] = int.from_bytes(blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return [known[shape] for shape in shapes]
+
+    stream = hashed(["0" if kind == "number" else token for kind, token in code])
+    frame = hashed([token if kind == "sign" else kind for kind, token in code])
     lines = text.count("\n") + 1
     minified = size >= 200 and blanks < 0.1 * size and names > 0.15 * size and size / lines > 80
     data = size >= 200 and names < 0.03 * size and (literals >= 20 or packed >= 200)
-    return generated, minified, data, marked, stream, text.strip()
+    return generated, minified, data, marked, stream, text.strip(), frame
 
 
 def _digest(content: bytes) -> int | None:
@@ -124,8 +114,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(x).to_pylist() for x in ("content", "path", "language")]
         rows = [_scan(content or "", path, language, known) for content, path, language in zip(*columns)]
         streams = [np.array(r[4], np.uint64) for r in rows]
-        sizes = np.array([len(x) for x in streams])
+        sizes = np.array([len(x) for x in streams], np.int64)
         owner = np.repeat(np.arange(len(rows)), sizes)
+        frames = gram_hashes(owner, np.concatenate([*(np.array(r[6], np.uint64) for r in rows), np.zeros(0, np.uint64)]), GRAM)
+        full = np.bincount(owner[frames != NONE], minlength=len(rows))
+        place = np.lexsort((frames, owner))
+        fresh = np.append(True, (frames[place][1:] != frames[place][:-1]) | (owner[place][1:] != owner[place][:-1]))[: len(place)] & (frames[place] != NONE)
+        repeats = (sizes >= REPEATING) & (np.bincount(owner[place][fresh], minlength=len(rows)) < REPEATS * full)
         grams = gram_hashes(owner, np.concatenate([*streams, np.zeros(0, np.uint64)]), GRAM)
         at = winnowed(grams, WINDOW)
         prints = [np.unique(x).view(np.int64) for x in np.split(grams[at], np.searchsorted(owner[at], np.arange(1, len(rows))))]
@@ -134,7 +129,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known.clear()
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("file_id"), batch.column("repo"), *(pa.array([bool(r[i]) for r in rows]) for i in range(4)),
+                batch.column("file_id"), batch.column("repo"), pa.array(np.array([bool(r[0]) for r in rows], bool) | repeats), *(pa.array([bool(r[i]) for r in rows]) for i in range(1, 4)),
                 pa.array(sizes.astype(np.int32)), pa.array(digests, pa.int64()), pa.array([x.tolist() for x in prints], pa.list_(pa.int64())),
             ],
             names=["file_id", "repo", "generated", "minified", "data", "marked", "n_tokens", "digest", "prints"],

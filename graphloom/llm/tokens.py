@@ -4,33 +4,60 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 # The languages that comment with `#`; the others comment as C does.
 HASH_LANGUAGES = {"python", "py", "ruby", "bash", "sh"}
 
 _COMMON = r"""
-  (?P<number>(?<![\w$])(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.[\d_]+)?(?:[eE][+-]?\d+)?)[a-zA-Z]?)
-| (?P<name>[^\W\d][\w$]*|\$[\w$]*)
-| (?P<blank>[^\S\n]+)
-| (?P<line>\n)
-| (?P<sign>=>|->|:=|[^\w\s])
+  \s+
+| [^\W\d][\w$]*|\$[\w$]*
+| (?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.[\d_]+)?(?:[eE][+-]?\d+)?)[a-zA-Z]?
+| =>|->|:=|.
 """
 _PYTHON = r"""
-  (?P<text>[rRbBuUfF]{0,2}(?:'''(?:[^\\]|\\.)*?(?:'''|\Z)|\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)|\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z)))
-| (?P<comment>\#[^\n]*)
+  [rRbBuUfF]{0,2}(?:'''(?:[^\\]|\\.)*?(?:'''|\Z)|\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)|\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z))
+| \#[^\n]*
 |"""
 _C_LIKE = r"""
-  (?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|(?<![^\n])\#![^\n]*)
-| (?P<text>`(?:[^`\\]|\\.)*(?:`|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)|\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z))
+  //[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|(?<![^\n])\#![^\n]*
+| `(?:[^`\\]|\\.)*(?:`|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)|\"(?:[^\"\\\n]|\\.)*(?:\"|(?=\n)|\Z)
 |"""
 
 
 @lru_cache(maxsize=2)
-def scanner(hashes: bool) -> re.Pattern:
-    """The pattern of one token; an unclosed string ends with its line, an unclosed comment with the file."""
+def _scanner(hashes: bool) -> re.Pattern:
+    """The pattern of one token or run of blanks; an unclosed string ends with its line, an unclosed comment with the file."""
     return re.compile((_PYTHON if hashes else _C_LIKE) + _COMMON, re.X | re.S)
 
 
+def _kind(token: str, hashes: bool) -> str:
+    first = token[0]
+    if first.isalpha() or first in "_$":
+        return "text" if hashes and ("'" in token or '"' in token) else "name"
+    if first.isspace():
+        return "blank"
+    if first in "'\"" or first == "`" and not hashes:
+        return "text"
+    if first.isdigit():
+        return "number"
+    return "comment" if (first == "#" and (hashes or token[:2] == "#!")) or not hashes and token[:2] in ("//", "/*") else "sign"
+
+
+def scanned(text: str, hashes: bool) -> tuple[list[str], list[str], list[int]]:
+    """The tokens of a text: their kinds, themselves, and where they begin.  Blanks and line ends are none."""
+    tokens = _scanner(hashes).findall(text)
+    kinds = {token: _kind(token, hashes) for token in set(tokens)}
+    begins = accumulate(map(len, tokens), initial=0)
+    found = [(kind, token, start) for token, start in zip(tokens, begins) if (kind := kinds[token]) != "blank"]
+    return tuple(map(list, zip(*found))) if found else ([], [], [])
+
+
+def opens_line(text: str, start: int) -> bool:
+    """Whether nothing but blanks comes before a place on its line."""
+    return not text[text.rfind("\n", 0, start) + 1 : start].strip()
+
+
 def plain(content: str) -> str:
     """A file's text without byte-order mark and with `\\n` line ends only."""
     return content.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
@@ -47,11 +74,10 @@ def language_of(path: str | None, language: str | None, content: str) -> str:
         return _ENDINGS[ending]
     if (language or "").lower() in set(_ENDINGS.values()):
         return language.lower()
-    head = content[:4000]
-    if re.search(r"^\s*(?:async\s+)?def \w+|^from \w[\w.]* import |^import \w[\w.]*$", head, re.M):
+    if re.search(r"^\s*(?:async\s+)?def \w+|^from \w[\w.]* import |^import \w[\w.]*$", content, re.M):
         return "python"
-    if re.search(r"^package \w+\s*$", head, re.M) and re.search(r"^func ", head, re.M):
+    if re.search(r"^package \w+\s*$", content, re.M) and re.search(r"^func ", content, re.M):
         return "go"
-    if re.search(r"^package [\w.]+;|^\s*(?:public|private|protected) (?:static )?(?:class|\w+ \w+\()", head, re.M):
+    if re.search(r"^package [\w.]+;|^\s*(?:public|private|protected) (?:static )?(?:class|\w+ \w+\()", content, re.M):
         return "java"
-    return "typescript" if re.search(r"\w\s*:\s*(?:string|number|boolean)\b", head) else "javascript"
+    return "typescript" if re.search(r"\w\s*:\s*(?:string|number|boolean)\b", content) else "javascript"
