@@ -11,19 +11,22 @@ and comments is one token there and defines nothing.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.gll import ends, grammar, islands
-from graphloom.llm.tokens import HASH_LANGUAGES, language_of, plain, scanner
+from graphloom.llm.tokens import HASH_LANGUAGES, language_of, opens_line, plain, scanned
+from graphloom.sources.tables import written
 
 #: Words that a documentation must have beside the function's own name.
 WORDS = 4
-#: A description, without names and numbers, that so many functions share is a template that says nothing about any of them.
-REPEATED = 50
+#: A description, without names and numbers, is a template that says nothing about any function if so many functions of different names have it, and so large a part of all documented ones.
+REPEATED, SHARE = 3, 0.0005
 
 # Sequences recur at their left, so each place of one is visited once.  A curly bracket is a type only where a type must
 # follow (or after Go's struct and interface), so no type takes in a body.
@@ -96,43 +99,39 @@ class _File:
 
     def __init__(self, text: str, language: str) -> None:
         self.text, self.python = text, language in HASH_LANGUAGES
-        self.tokens: list[str] = []
-        self.kinds: list[str] = []
-        self.lines: list[int] = []
-        self.starts: list[int] = []
+        kinds, tokens, starts = scanned(text, self.python)
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        code = [i for i, kind in enumerate(kinds) if kind != "comment"]
+        self.tokens, self.kinds, self.starts = [tokens[i] for i in code], [kinds[i] for i in code], [starts[i] for i in code]
         self.comments: dict[int, list[tuple[str, int, bool]]] = {}
+        for n, i in enumerate([i for i, kind in enumerate(kinds) if kind == "comment"]):
+            self.comments.setdefault(i - n, []).append((tokens[i], bisect_left(breaks, starts[i]) + 1, opens_line(text, starts[i])))
+        self.lines: list[int] = (np.searchsorted(breaks, self.starts) + 1).tolist()
         self.indents: list[int] = []
-        line, indent, begun = 1, 0, True
-        for m in scanner(self.python).finditer(text):
-            kind = m.lastgroup
-            if kind == "line":
-                line, indent, begun = line + 1, 0, True
-                continue
-            token = m.group()
-            if kind == "blank":
-                indent = len(token.expandtabs()) if begun else indent
-                continue
-            if kind == "comment":
-                self.comments.setdefault(len(self.tokens), []).append((token, line, begun))
-            else:
-                self.tokens.append(token)
-                self.kinds.append(kind)
-                self.lines.append(line)
-                self.starts.append(m.start())
+        if self.python:
+            begins = [0, *(x + 1 for x in breaks)]
+            line, indent = 0, 0
+            for start, at in zip(self.starts, self.lines):
+                if at != line:
+                    line, before = at, text[begins[at - 1] : start]
+                    indent = len(before.expandtabs()) if not before.strip() else indent  # after a text of several lines: that of its first
                 self.indents.append(indent)
-                begun = False
-            line += token.count("\n")
         self.match: dict[int, int] = {}
         opened: list[int] = []
         pairs = {")": "(", "]": "[", "}": "{"}
-        for i, token in enumerate(self.tokens):
-            if token in ("(", "[", "{"):
+        open_of = dict.fromkeys("([{", 0)
+        for i in [i for i, token in enumerate(self.tokens) if token in "()[]{}"]:
+            token = self.tokens[i]
+            if token in open_of:
                 opened.append(i)
-            elif token in pairs and any(self.tokens[x] == pairs[token] for x in opened[-40:]):
-                while self.tokens[opened[-1]] != pairs[token]:
-                    opened.pop()  # an opened bracket that nothing closes
-                self.match[i] = opened.pop()
-                self.match[self.match[i]] = i
+                open_of[token] += 1
+            elif token in pairs and open_of[pairs[token]]:
+                begin = opened.pop()
+                while self.tokens[begin] != pairs[token]:
+                    open_of[self.tokens[begin]] -= 1  # an opened bracket that nothing closes
+                    begin = opened.pop()
+                open_of[self.tokens[begin]] -= 1
+                self.match[i], self.match[begin] = begin, i
         self.whole = islands(self.tokens)
 
     def before(self, first: int, name: int) -> list[tuple[str, int, bool]]:
@@ -175,6 +174,14 @@ def _marks(file: _File, first: int) -> int:
     return first
 
 
+def _may_follow(file: _File, at: int, signs: tuple[str, ...]) -> bool:
+    """Whether one of the signs comes after a whole bracket; only then is a head looked for, as most brackets are calls."""
+    if file.tokens[at] != "(":
+        return True
+    end = file.whole.get(at, -1) + 1
+    return 0 < end < len(file.tokens) and file.tokens[end] in signs
+
+
 def _javascript(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
     tokens, kinds = file.tokens, file.kinds
     before = tokens[i - 1] if i else ""
@@ -185,7 +192,7 @@ def _javascript(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
         while first > 0 and tokens[first - 1] in ("export", "default", "declare"):
             first -= 1
         return first, max(after) - 1
-    if tokens[i] in _NO_NAME or i + 1 >= len(tokens) or tokens[i + 1] not in ("(", "<"):
+    if i + 1 >= len(tokens) or tokens[i + 1] not in ("(", "<") or tokens[i] in _NO_NAME or not _may_follow(file, i + 1, ("{", ":")):
         return None
     first = i
     while first > 0 and tokens[first - 1] in _BEFORE_JS and (tokens[first - 1] != "*" or first > 1 and (tokens[first - 2] in ("function", "async", "static") or file.lines[first - 2] < file.lines[first - 1])):
@@ -200,7 +207,7 @@ def _javascript(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
 
 def _java(file: _File, rules: dict, i: int) -> tuple[int, int] | None:
     tokens, kinds = file.tokens, file.kinds
-    if i + 1 >= len(tokens) or tokens[i + 1] != "(" or tokens[i] in _NO_NAME or not i or not (kinds[i - 1] == "name" or tokens[i - 1] in (">", "]")):
+    if i + 1 >= len(tokens) or tokens[i + 1] != "(" or tokens[i] in _NO_NAME or not _may_follow(file, i + 1, ("{", "throws", "[")) or not i or not (kinds[i - 1] == "name" or tokens[i - 1] in (">", "]")):
         return None
     first = i
     while first > 0:
@@ -352,12 +359,18 @@ def documented(defined: DataFrame, words: int = WORDS) -> DataFrame:
     return defined.filter(F.col("documentation").isNotNull() & (F.col("n_words") >= words))
 
 
-def pairs(defined: DataFrame, words: int = WORDS, repeated: int = REPEATED) -> DataFrame:
+def pairs(defined: DataFrame, words: int = WORDS, repeated: int = REPEATED, share: float = SHARE) -> DataFrame:
     """Code and description of each documented function, without descriptions that the corpus repeats.
 
     Descriptions are compared by the hash of their text without marks, case,
-    numbers and the function's name; the count is over all functions.
+    numbers and the function's name.  A template is a description that
+    `repeated` functions of different names have, and a part `share` of all
+    documented functions: copies of one function don't make its description a
+    template, and what is one doesn't depend on the corpus's size.
     """
-    told = documented(defined, words).withColumn("shape", F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.replace("documentation", F.col("name"), F.lit(""))), r"[\d]+", "0"), r"[^\p{L}0]+", " ")))
-    often = told.groupBy("shape").agg(F.count("*").alias("n")).filter(F.col("n") >= repeated)
+    shape = F.regexp_replace(F.regexp_replace(F.lower(F.replace("documentation", F.col("name"), F.lit(""))), r"[\d]+", "0"), r"[^\p{L}0]+", " ")
+    told = written(documented(defined, words).withColumn("shape", F.xxhash64(shape)), "documented")
+    each = told.groupBy("shape", F.xxhash64("name").alias("name")).agg(F.count("*").alias("n")).groupBy("shape").agg(F.count("*").alias("names"), F.sum("n").alias("n"))
+    every = each.agg(F.sum("n").alias("every"))  # one row
+    often = each.filter(F.col("names") >= repeated).crossJoin(F.broadcast(every)).filter(F.col("names") >= share * F.col("every"))
     return told.join(often, "shape", "left_anti").select("file_id", "name", "language", "start_line", "end_line", F.col("documentation").alias("description"), "code")

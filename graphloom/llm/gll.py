@@ -27,7 +27,8 @@ def islands(tokens: Sequence[str]) -> dict[int, int]:
     closing = {")": "(", "]": "[", "}": "{"}
     out: dict[int, int] = {}
     opened: list[int] = []
-    for i, token in enumerate(tokens):
+    for i in [i for i, token in enumerate(tokens) if token in "()[]{}<>"]:
+        token = tokens[i]
         if token in ("(", "[", "{", "<"):
             opened.append(i)
         elif token == ">":

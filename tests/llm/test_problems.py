@@ -123,6 +123,23 @@ def test_kinds_of_files(spark):
     assert handwritten.kinds(files.limit(0)).count() == 0
 
 
+def test_files_that_repeat_themselves(spark):
+    made = "".join(f"function make{w}Record{i}(msg) {{\n  return build('{w}', {i}, msg);\n}}\n" for i, w in enumerate(["Fox", "Owl", "Elk"] * 4))
+    few = "".join(f"function make{w}(msg) {{\n  return build('{w}', msg);\n}}\n" for w in ("Fox", "Owl"))
+    rng = random.Random(1)
+    own = "".join(f"function step{i}({', '.join('abc'[: i % 3 + 1])}) {{\n" + "".join(rng.choice(["  if (a) { return b; }\n", "  let c = f(a, 1);\n", "  for (const x of a) g(x);\n", "  a.sort();\n"]) for _ in range(5)) + "}\n" for i in range(9))
+    rows = [(1, "lib/a.js", "r", "javascript", made), (2, "lib/b.js", "r", "javascript", few), (3, "lib/c.js", "r", "javascript", own)]
+    assert [(r.file_id, r.generated) for r in handwritten.kinds(spark.createDataFrame(rows, FILE)).orderBy("file_id").collect()] == [(1, True), (2, False), (3, False)]
+
+
+def test_library_in_twenty_repositories(spark):
+    library = [f"def part_{i}(root, depth):\n    'Part {i}.'\n    left = root.walk_{i}(depth + {i})\n    return join_{i}(left, key_{i * 7}, depth)\n" for i in range(60)]
+    rows = [(n, f"src/m{n}.py", f"r{n}", "python", "".join(f if i != n else f"def own_{n}(x):\n    return x.local_{n}(x, x)\n" for i, f in enumerate(library))) for n in range(20)]
+    rows += [(100 + n, f"src/own{n}.py", f"r{n}", "python", "".join(f"def f{n}_{j}(a{n}, b):\n    c{j} = a{n}.g{n}_{j}(b, {j})\n    return h{n}(c{j}, b)\n" for j in range(3)) + f"class C{n}(B{n}):\n    x{n} = [y{n} for y{n} in z{n}() if y{n}]\n") for n in range(20)]
+    found = {r.file_id for r in handwritten.kinds(spark.createDataFrame(rows, FILE)).filter("vendored").collect()}
+    assert found == set(range(20))
+
+
 def test_copies_that_no_repository_marks(spark):
     origin = "".join(f"def part_{i}(root, depth):\n    return root.walk_{i}(depth + {i}, key_{i * 7})\n" for i in range(20))
     idiom = "try:\n    import json_fast as json\nexcept ImportError:\n    import json\nlog = logging.getLogger(__name__)\n"
@@ -242,6 +259,33 @@ def test_heads_cost_their_own_length():
     assert [f[:1] + f[2:4] for f in functions.defined(text, "a.ts", None)] == [(name, 1 + 402 * i, 402 * (i + 1)) for i, name in enumerate("aceg")]
 
 
+@pytest.mark.parametrize("n", [10, 200, 2000])
+def test_functions_of_many_parameters(n):
+    names = [f"parameter{i}" for i in range(n)]
+    python = "def f(" + ", ".join(f"{x}: dict[str, int] = {{}}" for x in names) + "):\n    'Says four words here.'\n    return 1\n"
+    script = "/** Says four words here. */\nfunction f(" + ", ".join(f"{x}: Map<string, (a: number) => void> = [{{}}]" for x in names) + "): void { return; }\n"
+    plain_script = "/** Says four words here. */\nfunction f(" + ", ".join(f"{x} = {{ a: [1] }}" for x in names) + ") { return; }\n"
+    java = "class A {\n/** Says four words here. */\npublic void f(" + ", ".join(f"final Map<String, List<int[]>> {x}" for x in names) + ") { }\n}\n"
+    go = "package p\n// Says four words here.\nfunc f(" + ", ".join(f"{x} map[string]func(int) (int, error)" for x in names) + ") (int, error) { return 0, nil }\n"
+    for path, text in (("a.py", python), ("a.ts", script), ("a.js", plain_script), ("A.java", java), ("a.go", go)):
+        assert [f[0] for f in functions.defined(text, path, None) if f[5] >= functions.WORDS] == ["f"], path
+
+
+def test_many_open_brackets():
+    text = "function f() {\n" + "if (a) {\n" * 60 + "}\n" * 60 + "return 1;\n}\n/** Says four words here. */\nfunction g() { return [" + "(" * 50 + "1" + ")" * 50 + "]; }\n"
+    assert [(f[0], f[2], f[3]) for f in functions.defined(text, "a.js", None)] == [("f", 1, 123), ("g", 125, 125)]
+
+
+def test_templates_are_dropped(spark):
+    make = lambda name, said: f"def {name}(x):\n    '{said}'\n    return x\n"
+    template = "".join(make(f"get_{w}", f"Returns the value of field {i} of the record.") for i, w in enumerate("abcde"))
+    own = make("walk", "Goes down the tree and yields each leaf.") + make("sort_all", "Puts the rows in order of their time.")
+    rows = [(1, "a.py", "r", "python", template + own), (2, "b.py", "s", "python", own), (3, "c.py", "t", "python", own)]  # copies of a function are no template
+    found = functions.functions(spark.createDataFrame(rows, FILE))
+    assert functions.documented(found).count() == 11
+    assert sorted(r.name for r in functions.pairs(found).collect()) == ["sort_all"] * 3 + ["walk"] * 3
+
+
 def test_functions_of_no_files(spark):
     files = spark.createDataFrame([(1, "a.py", "r", None, None), (2, None, None, None, ""), (3, "x", None, "python", "def f(:")], FILE)
     assert functions.functions(files).count() == 0
