@@ -43,6 +43,8 @@ SAMPLE = 2500
 POOL, CLEAN, HARD = 8000, 12000, 3000
 #: Times that the machine is fitted anew to what it takes for bad, and Newton steps in a fit, after which they stop however much still changes.
 FITS, STEPS = 3, 20
+#: The change of the weights, against the largest of them, that ends a fit.
+TOLERANCE = 0.05
 #: The part of a sentence's documents that must be bad, as reviewers err; its least characters; tasks of a fit.
 PART, LEAST, TASKS = 0.6, 8, 8
 #: Characters of a piece of a run without sentence ends; pieces overlap by half.
@@ -186,11 +188,11 @@ class Sentences:
         return row[order].astype(np.int64), place[order].astype(np.int64), weight[order]
 
     def counts(self) -> Iterator[np.ndarray]:
-        """Of pieces made before, some hundred at a time: the weight of their subsequences in each place, scaled."""
+        """Of pieces made before, two hundred at a time: the weight of their subsequences in each place, scaled."""
         row, place, weight = self.places()
         scale = self.scale().astype(np.float32)
-        for a in range(0, len(self.starts), 500):
-            b = min(a + 500, len(self.starts))
+        for a in range(0, len(self.starts), 200):
+            b = min(a + 200, len(self.starts))
             i, j = np.searchsorted(row, [a, b])
             count = np.bincount((row[i:j] - a) * PLACES + place[i:j], weight[i:j], minlength=(b - a) * PLACES)
             yield count.reshape(b - a, PLACES).astype(np.float32) * scale[a:b, None]
@@ -258,16 +260,24 @@ def _equations(w: np.ndarray, labels: np.ndarray | None):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of all: the sums of the tasks' equations, of which there are TASKS."""
+    rows = [r for batch in batches for r in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(x, np.float64) for x in part).tobytes()], pa.binary()) for part in zip(*rows)], names=["left", "right"])
+
+
 def _fit(features: DataFrame, size: int, labels: np.ndarray | None) -> np.ndarray:
     """Weights of a squared-hinge support vector machine, by Newton steps."""
     ridge = np.full(size + 1, RIDGE)
     ridge[-1] = 1e-3
     w = np.zeros(size + 1)
     for _ in range(STEPS):
-        parts: list[Row] = features.mapInArrow(_equations(w, labels), "left binary, right binary").collect()  # a task's sums each, of the landmarks' size
-        left, right = (sum(np.frombuffer(p[name], np.float64) for p in parts) for name in ("left", "right"))
+        each = features.mapInArrow(_equations(w, labels), "left binary, right binary")
+        found: Row = each.repartition(1).mapInArrow(_summed, "left binary, right binary").collect()[0]  # of the landmarks' size, whatever the data
+        left, right = (np.frombuffer(found[name], np.float64) for name in ("left", "right"))
         before, w = w, np.linalg.solve(left.reshape(size + 1, -1) + np.diag(ridge), right)
-        if np.abs(w - before).max() <= 1e-3 * np.abs(w).max():
+        if np.abs(w - before).max() <= TOLERANCE * np.abs(w).max():
             break
     return w
 
