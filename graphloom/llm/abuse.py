@@ -34,13 +34,13 @@ from graphloom.sources.tables import written
 #: Characters of a subsequence, the characters it may lie within, and the weight of each character of stretch.
 LETTERS, SPAN, DECAY = 4, 6, 0.8
 #: Hash places, landmark sentences, ridge of the machine.
-PLACES, LANDMARKS, RIDGE = 2**13, 600, 0.3
+PLACES, LANDMARKS, RIDGE = 2**13, 500, 0.3
 #: The machine's value from which a sentence counts.
-MARGIN = 0.3
+MARGIN = 0.4
 #: Labelled bad documents that training looks at, at most, and as many again and once more clean ones, chosen by the hash of their number.
 SAMPLE = 2500
 #: Sentences of bad documents, of clean ones, and of clean ones that came out worst, that a fit takes in at most.
-POOL, CLEAN, HARD = 8000, 12000, 3000
+POOL, CLEAN, HARD = 8000, 10000, 3000
 #: Times that the machine is fitted anew to what it takes for bad, and Newton steps in a fit, after which they stop however much still changes.
 FITS, STEPS = 3, 20
 #: The change of the weights, against the largest of them, that ends a fit.
@@ -224,7 +224,7 @@ class _Landmarks:
             for batch in batches:
                 if batch.num_rows:
                     x = np.concatenate([count @ onto for count in Sentences.of(batch.column("sentence").to_pylist()).counts()])
-                    yield pa.RecordBatch.from_arrays([batch.column("bad"), batch.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], names=["bad", "n", "x"])
+                    yield pa.RecordBatch.from_arrays([batch.column("bad"), batch.column("n"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["bad", "n", "x"])
 
         return written(pool.repartition(TASKS).mapInArrow(run, "bad boolean, n long, x binary"), "abuse-features")
 
@@ -242,8 +242,8 @@ def _equations(w: np.ndarray, labels: np.ndarray | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, -1)
-            x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float16).reshape(batch.num_rows, -1)
+            x = np.hstack([x.astype(np.float32), np.ones((len(x), 1), np.float32)])
             bad = batch.column("bad").to_numpy(zero_copy_only=False)
             y, n = np.where(bad, 1.0, -1.0), batch.column("n").to_numpy().astype(np.float64)
             use = np.ones(len(x), bool)
@@ -322,8 +322,8 @@ def train(judged: DataFrame) -> tuple[np.ndarray, float]:
     marks = [first(told.filter("bad"), LANDMARKS // 2, order), first(told.filter("not bad"), LANDMARKS // 2, order)]
     if not all(marks):
         return _CLEAN_MACHINE
-    machine = _machine(often.unionByName(clean), [*marks[0], *marks[1]], True)
-    for _ in range(FITS):  # anew, on the sentences that the machine takes for bad, and the clean ones it is wrong about
+    machine = _machine(often.unionByName(clean), [*marks[0], *marks[1]], False)
+    for turn in range(FITS):  # anew, on the sentences that the machine takes for bad, and the clean ones it is wrong about
         valued = written(told.repartition(TASKS).mapInArrow(_valued(*machine), "sentence string, n long, bad boolean, value double"), "abuse-values")
         found = valued.filter("bad and value > 0").orderBy(F.desc("value"), "sentence").limit(POOL)
         hard = valued.filter("not bad and value < 1").orderBy(F.desc("value"), "sentence").limit(HARD)
@@ -331,7 +331,7 @@ def train(judged: DataFrame) -> tuple[np.ndarray, float]:
         if not near[0]:
             return _CLEAN_MACHINE
         right = valued.filter("not bad and value < 1").join(clean.select("sentence"), "sentence", "left_semi")  # the others are taken for errors of reviewers
-        machine = _machine(found.unionByName(hard).unionByName(right).select("sentence", "n", "bad").distinct(), sorted(set().union(*near)), False)
+        machine = _machine(found.unionByName(hard).unionByName(right).select("sentence", "n", "bad").distinct(), sorted(set().union(*near)), turn == FITS - 1)
     return machine
 
 
