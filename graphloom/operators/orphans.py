@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import micros, normal_id
+from graphloom.sources.tables import written
 
 #: Parents in a range, and references in a slice of a range, on average.
 RANGE_KEYS, SLICE_REFERENCES = 20_000, 100_000
+#: Slices that one task looks up, on average.
+TASK_SLICES = 8
 
 _FOUND = "ref_table string, ref_key long, field string, node_ref string, at timestamp, reason string"
 _ALWAYS, _NEVER = -(2**63), 2**63 - 1
@@ -92,13 +95,18 @@ def orphans(refs: DataFrame, keys: DataFrame, range_keys: int = RANGE_KEYS, slic
     the same if equal after the id convention.  With no references the
     result is empty; with no keys every reference is missing.
     """
+    keys = written(keys, "parents")
     bits = max(1, math.ceil(math.log2(max(1, keys.count()) / range_keys + 1)))
     in_range = F.shiftrightunsigned("k1", 64 - bits).cast("int").alias("range")
     keyed = refs.withColumn("id", normal_id("node_ref")).select("ref_table", "ref_key", "field", "node_ref", "at", micros("at").alias("at_us"), F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
     keyed = keyed.withColumn("at_us", F.coalesce("at_us", F.lit(0))).select("*", in_range)
-    slices = keyed.groupBy("range").agg(F.ceil(F.count("*") / slice_references).cast("int").alias("slices"))
+    slices = written(keyed.groupBy("range").agg(F.ceil(F.count("*") / slice_references).cast("int").alias("slices")), "slices")
     left = keyed.join(slices, "range").withColumn("slice", F.pmod(F.xxhash64("ref_key", "field", "node_ref"), "slices").cast("int")).drop("slices")
     right = keys.select("*", in_range).join(slices, "range").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
+    # a cogroup's partitions aren't split at run time, so their number follows the data: some slices each
+    total = slices.agg(F.sum("slices")).first()[0] or 1
+    partitions = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SLICES))
+    left, right = (x.repartition(partitions, "range", "slice") for x in (left, right))
     return left.groupBy("range", "slice").cogroup(right.groupBy("range", "slice")).applyInArrow(_probe, _FOUND).distinct()
 
 

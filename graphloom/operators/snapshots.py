@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.tables import written
 
-#: Keys in a chunk, on average.
-CHUNK_KEYS = 64
+#: Keys in a chunk, on average: where one record in twenty changes, two chunks of three stay as they are.
+CHUNK_KEYS = 8
+#: Rows of all snapshots that one task sorts, on average.
+RANGE_ROWS = 1_000_000
 
 _CHUNKED = "record_type string, key string, turn int, body long, grp int, part int, chunk int, earlier_grp int, paired boolean"
 
@@ -76,6 +78,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(keep))
 
 
+def _unmatched(coded: DataFrame, turns: DataFrame) -> DataFrame:
+    """The chunks, by the later turn, whose digests in two consecutive snapshots differ: record_type, turn, part, chunk.
+
+    A digest is the number of rows and two sums by exclusive or of their codes.
+    """
+    place = ["record_type", "turn", "part", "chunk"]
+    digest = lambda code, name: [F.bit_xor(code).alias(f"{name}_one"), F.bit_xor(F.xxhash64(code, F.lit(5))).alias(f"{name}_two")]
+    chunks = coded.groupBy(*place).agg(F.count("*").alias("n"), *digest("later", "l"), *digest("earlier", "e"))
+    now = chunks.select(*place, F.struct("n", "l_one", "l_two").alias("now")).filter("turn > 1")
+    last = turns.groupBy("record_type").agg(F.max("turn").alias("last"))
+    before = chunks.join(last, "record_type").filter("turn < last").select("record_type", (F.col("turn") + 1).alias("turn"), "part", "chunk", F.struct("n", "e_one", "e_two").alias("before"))
+    return now.join(before, place, "full_outer").filter(~F.col("now").eqNullSafe(F.col("before"))).select(*place)
+
+
 def changes(rows: DataFrame, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
     """The records added, removed or changed from each snapshot to the next.
 
@@ -90,11 +106,11 @@ def changes(rows: DataFrame, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
     differ or its later group isn't the continuation of its earlier one
     (null continues as null).  An empty table gives no rows.
     """
-    kinds = rows.groupBy("record_type", "snapshot_id").agg(F.min("snapshot_at").alias("at"))
+    kinds = written(rows.groupBy("record_type", "snapshot_id").agg(F.min("snapshot_at").alias("at"), F.count("*").alias("rows")), "snapshots")
     order = Window.partitionBy("record_type").orderBy("at", "snapshot_id")
     turns = kinds.select("record_type", "snapshot_id", F.row_number().over(order).alias("turn"), F.count("*").over(Window.partitionBy("record_type")).alias("turns"))
     spark = rows.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(kinds.agg(F.sum("rows")).first()[0] or 0) // RANGE_ROWS))
     ordered = (
         rows.join(turns.select("record_type", "snapshot_id", "turn"), ["record_type", "snapshot_id"])
         .withColumn("border", F.pmod(F.xxhash64("key", F.lit(17)), F.lit(chunk_keys)) == 0)
@@ -110,29 +126,16 @@ def changes(rows: DataFrame, chunk_keys: int = CHUNK_KEYS) -> DataFrame:
         "record_type", (F.col("turn") - 1).alias("turn"), F.col("earlier_grp").alias("grp"), F.col("grp").alias("next_grp")
     )
     turns = written(turns, "snapshot-turns")
-    known = turns.select("record_type", "turn", "turns")
-    roled = (
-        chunked.join(goes_on, ["record_type", "turn", "grp"], "left").join(known, ["record_type", "turn"])
-        .select(
-            "record_type", "key", "part", "chunk", "turns",
-            F.explode(F.array(
-                F.struct(F.col("turn").alias("turn"), F.lit(True).alias("later"), F.xxhash64("body", F.col("grp").isNull().cast("int"), F.coalesce("grp", F.lit(0))).alias("code")),
-                F.struct((F.col("turn") + 1).alias("turn"), F.lit(False).alias("later"), F.xxhash64("body", F.when(F.col("grp").isNull(), 1).when(F.col("next_grp").isNull(), 2).otherwise(0), F.coalesce("next_grp", F.lit(0))).alias("code")),
-            )).alias("r"),
-        )
-        .select("record_type", "key", "part", "chunk", "turns", "r.*").filter((F.col("turn") >= 2) & (F.col("turn") <= F.col("turns")))
-    )
-    sides = []
-    for name, side in (("l", F.col("later")), ("e", ~F.col("later"))):
-        code = F.when(side, F.col("code"))
-        sides += [F.count(code).alias(f"{name}_rows"), F.coalesce(F.bit_xor(code), F.lit(0)).alias(f"{name}_digest"), F.coalesce(F.bit_xor(F.xxhash64(code, F.lit(5)) * side.cast("long")), F.lit(0)).alias(f"{name}_second")]
+    # each row as the later and as the earlier of two; a group that goes on is compared under its later number
+    later = F.xxhash64("body", F.col("grp").isNull().cast("int"), F.coalesce("grp", F.lit(0)))
+    earlier = F.xxhash64("body", F.when(F.col("grp").isNull(), 1).when(F.col("next_grp").isNull(), 2).otherwise(0), F.coalesce("next_grp", F.lit(0)))
+    coded = chunked.join(goes_on, ["record_type", "turn", "grp"], "left").select("record_type", "key", "turn", "part", "chunk", later.alias("later"), earlier.alias("earlier"))
     place = ["record_type", "turn", "part", "chunk"]
-    unmatched = roled.groupBy(place).agg(*sides).filter(
-        (F.col("l_rows") != F.col("e_rows")) | (F.col("l_digest") != F.col("e_digest")) | (F.col("l_second") != F.col("e_second"))
-    ).select(place)
-    compared = roled.join(unmatched, place, "left_semi").groupBy(*place, "key").agg(
-        F.max(F.when(F.col("later"), F.col("code"))).alias("now"), F.max(F.when(~F.col("later"), F.col("code"))).alias("before")
+    unmatched = written(_unmatched(coded, turns), "snapshot-unmatched")
+    sides = coded.join(unmatched, place, "left_semi").select(*place, "key", F.col("later").alias("now"), F.lit(None).cast("long").alias("before")).unionByName(
+        coded.withColumn("turn", F.col("turn") + 1).join(unmatched, place, "left_semi").select(*place, "key", F.lit(None).cast("long").alias("now"), F.col("earlier").alias("before"))
     )
+    compared = sides.groupBy(*place, "key").agg(F.max("now").alias("now"), F.max("before").alias("before"))
     change = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("before"), "changed")
     return (
         compared.withColumn("change", change).filter(F.col("change").isNotNull())
