@@ -20,6 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graphloom.sources.tables import written
+
+#: Parts in which the nodes of one value are joined.
+SLICES = 8
+
 # Letters that look like a Latin letter, after the Unicode confusables data (prototype: look-alikes).
 _LATIN = """
 A: АΑᎪᗅꓮ
@@ -232,22 +237,42 @@ def variants(texts: DataFrame) -> DataFrame:
     return counted.join(several, ["field", "skeleton"], "left_semi").select("field", "skeleton", "value", "n_nodes")
 
 
+def _slice(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLICES)).cast("int").alias("slice")
+
+
 def lookalikes(texts: DataFrame) -> DataFrame:
     """Pairs of nodes that hold values which look the same and are not the same characters: field, id_a < id_b.
 
     Values are paired first, within their class; then each side's nodes are
-    joined on.  A node is no pair with itself.  Nodes that hold the same
+    joined on, a value's nodes in SLICES parts, as one value may be held by
+    very many.  A node is no pair with itself.  Nodes that hold the same
     characters are no pair by these.  The result is as large as the pairs
-    that there are; a value with very many nodes is split by AQE's skew join.
+    that there are; `classes` gives the same links without pairs.
+    """
+    texts = written(texts, "texts")
+    found = written(variants(texts).select("field", "skeleton", "value"), "variants")
+    pairs = found.withColumnRenamed("value", "value_a").join(found.withColumnRenamed("value", "value_b"), ["field", "skeleton"]).filter(F.col("value_a") < F.col("value_b")).select("field", "value_a", "value_b")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    one = texts.select("field", F.col("value").alias("value_a"), F.col("id").alias("x"), _slice("id"))
+    two = texts.select("field", F.col("value").alias("value_b"), F.col("id").alias("y"), _slice("id"))
+    left = pairs.withColumn("slice", each).join(one, ["field", "value_a", "slice"]).drop("slice")
+    both = left.withColumn("slice", each).join(two, ["field", "value_b", "slice"]).filter(F.col("x") != F.col("y"))
+    return both.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def classes(texts: DataFrame) -> DataFrame:
+    """Every node's text that has look-alikes, with its class: field, id, value, representative, n_links.
+
+    representative: the least value of the class.  n_links: the nodes that
+    hold another value of the class (of tags, a node counts once for each tag).
     """
-    classes = variants(texts).select("field", "skeleton", "value")
-    left = classes.withColumnRenamed("value", "value_a")
-    right = classes.withColumnRenamed("value", "value_b")
-    pairs = left.join(right, ["field", "skeleton"]).filter(F.col("value_a") < F.col("value_b")).select("field", "value_a", "value_b")
-    one = texts.select("field", F.col("value").alias("value_a"), F.col("id").alias("x"))
-    two = texts.select("field", F.col("value").alias("value_b"), F.col("id").alias("y"))
-    found = pairs.join(one, ["field", "value_a"]).join(two, ["field", "value_b"]).filter(F.col("x") != F.col("y"))
-    return found.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    texts = written(texts, "texts")
+    found = written(variants(texts), "variants")
+    whole = found.groupBy("field", "skeleton").agg(F.min("value").alias("representative"), F.sum("n_nodes").alias("all"))
+    of = found.join(whole, ["field", "skeleton"]).select("field", "value", "representative", (F.col("all") - F.col("n_nodes")).alias("n_links"))
+    each = of.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return texts.withColumn("slice", _slice("id")).join(each, ["field", "value", "slice"]).select("field", "id", "value", "representative", "n_links")
 
 
 def consistent(nodes: DataFrame) -> DataFrame:

@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.winnow import NONE, comparable, gram_hashes, winnowed, word_hashes
+from graphloom.sources.tables import written
 
 #: Words in a row that make a passage; the words of a gram.
 SPAN, GRAM = 12, 5
 #: Items of fewer words are looked up whole, by a gram of their own length.
 SHORT = 8
+#: Groups of documents by the hash of their number; those that hold no candidate are left out before texts are shuffled.
+GROUPS = 2**20
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -84,7 +87,8 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame
     documents: doc_id (unique), text.  items: item_id (unique), text.  A
     passage is `span` words in a row, or the whole of an item that has fewer.
     Null and empty texts hold nothing, and an item without words leaks
-    nowhere.  A text's length is not limited.
+    nowhere.  A text's length is not limited.  Texts are shuffled for
+    documents with a candidate only, and few others.
     """
     sizes = items.select("text").mapInPandas(_sizes, "n int").distinct().filter("n > 0")
     # Word counts of items: at most SHORT + span different values matter.
@@ -98,8 +102,11 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame
         return df.select(key, "text").filter("text is not null").mapInArrow(_fingerprints(key, gram, window, short, whole), f"kind int, hash long, {key} long, {key}_at int")
 
     hits = prints(documents, "doc_id", False).join(prints(items, "item_id", True), ["kind", "hash"])
-    candidates = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_id_at") - F.col("item_id_at")).alias("shifts"))
-    texts = candidates.join(items.select("item_id", F.col("text").alias("item_text")), "item_id").join(documents.select("doc_id", "text"), "doc_id")
+    candidates = written(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("doc_id_at") - F.col("item_id_at")).alias("shifts")), "leak-candidates")
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS)).alias("group")
+    wanted = F.broadcast(candidates.select(group).distinct())  # GROUPS numbers at most
+    near = documents.select("doc_id", "text", group).join(wanted, "group", "left_semi").drop("group")
+    texts = candidates.join(items.select("item_id", F.col("text").alias("item_text")), "item_id").join(near, "doc_id")
     return texts.select("doc_id", "item_id", "text", "item_text", "shifts").mapInArrow(_extended(span), "doc_id long, item_id long, n_words int, at_word int")
 
 

@@ -18,10 +18,15 @@ def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.variants(confusables.cells(table(spark, folder, "nodes")))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node's look-alike text with the representative of its class, and how many nodes it looks like."""
+    return confusables.classes(confusables.cells(table(spark, folder, "nodes")))
+
+
 def p1_consistent(spark: SparkSession, folder: str) -> DataFrame:
     """All nodes with their texts in one form."""
     return confusables.consistent(table(spark, folder, "nodes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_variants": p1_variants, "p1_consistent": p1_consistent}
+QUERIES = {"p1_found": p1_found, "p1_variants": p1_variants, "p1_classes": p1_classes, "p1_consistent": p1_consistent}
 SQL: dict[str, str] = {}

@@ -56,6 +56,8 @@ def test_lookalike_pairs(spark):
     got = {(r.field, r.id_a, r.id_b) for r in confusables.lookalikes(confusables.cells(nodes)).collect()}
     assert got == {("label", "a", "b"), ("label", "a", "c"), ("tags", "a", "b")}
     assert confusables.lookalikes(confusables.cells(nodes.limit(0))).count() == 0
+    links = {(r.field, r.id): r.n_links for r in confusables.classes(confusables.cells(nodes)).collect()}
+    assert links == {("label", "a"): 2, ("label", "b"): 1, ("label", "c"): 1, ("tags", "a"): 1, ("tags", "b"): 1}
     assert {r.id: r.label for r in confusables.consistent(nodes).collect()}["a"] == "folder"
 
 
