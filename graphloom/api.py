@@ -24,7 +24,7 @@ class PropertyGraph:
     def from_tables(cls, spark: SparkSession, folder: str) -> PropertyGraph:
         """The graph that the tables nodes, shared_nodes, edges and hyperedges of a folder make."""
         nodes = written(graph.live_nodes(table(spark, folder, "nodes"), table(spark, folder, "shared_nodes")), "nodes")
-        edges = written(graph.upsert_edges(graph.repair_ends(table(spark, folder, "edges"), nodes)), "edges")
+        edges = written(graph.upsert_edges(written(graph.repair_ends(table(spark, folder, "edges"), nodes), "repaired")), "edges")
         return cls(nodes, edges, table(spark, folder, "hyperedges"))
 
     def views(self, prefix: str = "") -> None:
@@ -36,7 +36,7 @@ class PropertyGraph:
         return self.nodes.filter(F.col("id") == node).select("id")
 
     def find_nodes(self, question: str, limit: int = 10) -> DataFrame:
-        return traversal.find(self.nodes, question, limit).select("id", "label", "file_type", "source_file", (F.col("score") / 10).alias("score"))
+        return traversal.find(self.nodes, question, limit, self.edges).select("id", "label", "file_type", "source_file", (F.col("score") / 10).alias("score"))
 
     def ask(self, question: str, depth: int = 3, contexts: Sequence[str] = (), seeds: int = 3, budget: int = 2000) -> DataFrame:
         """The answer as lines of text: the best nodes, and what a walk from them reaches by edges of the question's contexts."""

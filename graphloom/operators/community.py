@@ -93,25 +93,39 @@ def _inside(edges: DataFrame, names: DataFrame) -> DataFrame:
     return edges.join(s, "source").join(t, "target").filter("cs = ct")
 
 
+def _split(names: DataFrame, edges: DataFrame, which: DataFrame) -> DataFrame:
+    """The named communities (c) are partitioned once more by their own edges; nodes without one are communities of their own."""
+    which = written(which, "split")
+    if which.isEmpty():
+        return names
+    again = partition(_inside(edges, names.join(which, "c", "left_semi")).select("source", "target", "weight"))
+    apart = names.join(which, "c", "left_semi").select("id").join(again, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    return written(names.join(which, "c", "left_anti").select("id", "c").unionByName(apart), "named")
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """The rows with their number in an order, from 0, without bringing them together: sorted by ranges, counted, and shifted."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", inside), "numbered")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each range
+    shift = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    return ranged.join(shift, "_part").withColumn(name, (F.col("_shift") + F.col("_at")).cast("int")).drop("_part", "_at", "_shift")
+
+
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node's community: id, community, numbered from the largest (0) on, of equals by their least member.
 
     Nodes without edges are communities of their own.  A community larger
-    than a quarter of all nodes (and than 10), or one of 50 and more whose
-    cohesion is below 0.05, is partitioned once more by its own edges.
+    than a quarter of all nodes (and than 10) is partitioned once more by its
+    own edges; then so is one of 50 and more whose cohesion is below 0.05.
     """
     simple = edges.select("source", "target", "weight").filter("source <> target")
     names = written(nodes.select("id").join(partition(simple), "id", "left").select("id", F.coalesce("c", "id").alias("c")), "named")
-    n = names.count()
-    size = names.groupBy("c").agg(F.count("*").alias("size"))
-    inside = written(_inside(simple, names), "inside")
-    pairs = inside.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col("cs").alias("c")).distinct().groupBy("c").agg(F.count("*").alias("pairs"))
-    loose = (F.col("size") >= LOOSE_SIZE) & (F.coalesce("pairs", F.lit(0)) * 2 / (F.col("size") * (F.col("size") - 1)) < LOOSE)
-    split = written(size.join(pairs, "c", "left").filter((F.col("size") > max(SPLIT_SIZE, int(FRACTION * n))) | loose).select("c"), "split")
-    if not split.isEmpty():
-        again = partition(inside.join(split.withColumnRenamed("c", "cs"), "cs", "left_semi").select("source", "target", "weight"))
-        apart = names.join(split, "c", "left_semi").select("id").join(again, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
-        names = written(names.join(split, "c", "left_anti").select("id", "c").unionByName(apart), "named")
+    most = max(SPLIT_SIZE, int(FRACTION * names.count()))
+    names = _split(names, simple, names.groupBy("c").agg(F.count("*").alias("size")).filter(F.col("size") > most).select("c"))
+    size = names.groupBy("c").agg(F.count("*").alias("size")).filter(F.col("size") >= LOOSE_SIZE)
+    pairs = _inside(simple, names).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col("cs").alias("c")).distinct().groupBy("c").agg(F.count("*").alias("pairs"))
+    loose = F.coalesce("pairs", F.lit(0)) * 2 / (F.col("size") * (F.col("size") - 1)) < LOOSE
+    names = _split(names, simple, size.join(pairs, "c", "left").filter(loose).select("c"))
     ranked = names.groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    number = ranked.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
-    return names.join(number.select("c", "community"), "c").select("id", "community")
+    return names.join(numbered(ranked, "community", F.desc("size"), "first").select("c", "community"), "c").select("id", "community")

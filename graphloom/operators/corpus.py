@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,12 +12,15 @@ from graphloom.functions.ids import base_name, make_id, normal_path
 
 # Folders never read, and file endings by kind.
 IGNORED = [".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", "target", ".pytest_cache", ".mypy_cache", "graph-out", "_meta"]
-CODE = "py ts js jsx tsx mjs ejs go rs java cpp cc cxx c h hpp rb swift kt kts cs scala php lua toc zig ps1 ex exs m mm jl vue svelte dart v sv sql r".split()
-DOCUMENT = "md mdx txt rst html yaml yml docx xlsx".split()
-PROSE = "md mdx txt rst".split()
+CODE = [
+    "py", "ts", "js", "jsx", "tsx", "mjs", "ejs", "go", "rs", "java", "cpp", "cc", "cxx", "c", "h", "hpp", "rb", "swift", "kt", "kts", "cs", "scala",
+    "php", "lua", "toc", "zig", "ps1", "ex", "exs", "m", "mm", "jl", "vue", "svelte", "dart", "v", "sv", "sql", "r",
+]
+DOCUMENT = ["md", "mdx", "txt", "rst", "html", "yaml", "yml", "docx", "xlsx"]
+PROSE = ["md", "mdx", "txt", "rst"]
 PAPER = ["pdf"]
-IMAGE = "png jpg jpeg gif webp svg".split()
-VIDEO = "mp4 mov webm mkv avi m4v mp3 wav m4a ogg".split()
+IMAGE = ["png", "jpg", "jpeg", "gif", "webp", "svg"]
+VIDEO = ["mp4", "mov", "webm", "mkv", "avi", "m4v", "mp3", "wav", "m4a", "ogg"]
 
 # Names of files that hold secrets.
 SENSITIVE = [
@@ -69,18 +73,24 @@ def words(text: Column | str) -> Column:
     return F.size(F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\s+"), lambda x: x != ""))
 
 
-def glob_pattern(glob: str) -> str:
-    """A glob of an ignore file as a regular expression over a path: a trailing `/` is a folder, `*` crosses folders."""
-    body = "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and c not in "_/-" else c for c in glob.rstrip("/"))
-    return f"(^|/){body}/" if glob.endswith("/") else f"^{body}$|(^|/){body}(/|$)"
+def matches_glob(path: Column, glob: str) -> Column:
+    """Whether a path matches a glob of an ignore file.
+
+    A trailing `/` is a folder at the top and all below it; else the whole
+    path matches, where `*` crosses folders, or a part of it equals the glob.
+    """
+    bare = glob.rstrip("/")
+    if glob.endswith("/"):
+        return (path == bare) | path.startswith(f"{bare}/")
+    return path.rlike("^" + fnmatch.translate(bare).replace("\\Z", "\\z")) | F.array_contains(F.split(path, "/"), bare)
 
 
 def not_ignored(path: Column | str, globs: list[str]) -> Column:
     """Paths that no glob excludes, or that a `!` glob takes back; comments and blanks are no globs."""
     path = normal_path(path)
     lines = [g.strip() for g in globs if g.strip() and not g.strip().startswith("#")]
-    out = [path.rlike(glob_pattern(g)) for g in lines if not g.startswith("!")]
-    back = [path.rlike(glob_pattern(g[1:].strip())) for g in lines if g.startswith("!")]
+    out = [matches_glob(path, g) for g in lines if not g.startswith("!")]
+    back = [matches_glob(path, g[1:].strip()) for g in lines if g.startswith("!")]
     any_of = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
     return ~any_of(out) | any_of(back)
 

@@ -51,8 +51,11 @@ def upsert_edges(edges: DataFrame, order: Sequence[str] = ("extracted_at", "edge
     """One edge for each pair of ends, as the last unbroken run of one relation leaves it.
 
     relation, confidence, place and context are of the run's first row,
-    weight is the run's length, call_sites are the distinct places in order
-    (null for a run of one).  A null relation is equal to itself.
+    weight is the run's length.  A null relation is equal to itself.
+    call_sites are the distinct places of the rows that repeat a relation, in
+    order, behind the place that their relation began at; they outlive the
+    run, so that later runs add to them.  Null where no row repeats one.
+    Only pairs with several relations are looked at row by row.
     """
     pair, key = ["source", "target"], F.struct(*order)
     rows = edges.withColumn("r", F.coalesce("relation", F.lit("\x00"))).withColumn("o", key)
@@ -61,9 +64,34 @@ def upsert_edges(edges: DataFrame, order: Sequence[str] = ("extracted_at", "edge
     run = rows.join(bounds, [*pair, "r"]).filter(F.col("after").isNull() | (F.col("o") > F.col("after")))
     first = [F.min_by(x, "o").alias(x) for x in ("relation", "confidence", "source_file", "source_location", "context", *order)]
     out = run.groupBy(*pair).agg(*first, F.count("*").alias("weight"))
-    each = run.filter("source_location is not null").groupBy(*pair, "source_location").agg(F.min("o").alias("o"))
-    places = each.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "source_location"))), lambda x: x["source_location"]).alias("places"))
-    return out.join(places, pair, "left").withColumn("call_sites", F.when(F.col("weight") > 1, F.coalesce("places", F.array().cast("array<string>")))).drop("places")
+    only = run.filter(F.col("after").isNull()).select(*pair, "o", "source_location")
+    several = bounds.filter(F.col("after").isNotNull()).select(*pair)
+    placed = _ordered_places(only.filter("source_location is not null"), pair)
+    left = _ordered_places(_repeats(rows.join(several, pair, "left_semi"), pair), pair)
+    plain = out.join(several, pair, "left_anti").join(placed, pair, "left").withColumn("call_sites", F.when(F.col("weight") > 1, F.coalesce("places", F.array().cast("array<string>"))))
+    mixed = out.join(several, pair, "left_semi").join(left, pair, "left").withColumnRenamed("places", "call_sites")
+    return plain.drop("places").unionByName(mixed)
+
+
+def _ordered_places(rows: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """Each pair's distinct places (o, source_location) in the order of their first row."""
+    each = rows.groupBy(*pair, "source_location").agg(F.min("o").alias("o"))
+    return each.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "source_location"))), lambda x: x["source_location"]).alias("places"))
+
+
+def _repeats(rows: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """The rows that repeat the relation before them, and ahead of the first of these the place that its relation began at."""
+    ordered = Window.partitionBy(*pair).orderBy("o")
+    fresh = F.coalesce(F.lag("r").over(ordered) != F.col("r"), F.lit(True))
+    marked = rows.withColumn("fresh", fresh).withColumn("began", F.last(F.when(F.col("fresh"), F.col("source_location")), ignorenulls=True).over(ordered))
+    again = marked.filter("not fresh and source_location is not null and began is not null")
+    ahead = again.groupBy(*pair).agg(F.min(F.struct("o", F.lit(0).alias("n"), "began")).alias("f")).select(*pair, F.struct("f.o", "f.n").alias("o"), F.col("f.began").alias("source_location"))
+    return again.select(*pair, F.struct("o", F.lit(1).alias("n")).alias("o"), "source_location").unionByName(ahead)
+
+
+def relation_edges(edges: DataFrame) -> DataFrame:
+    """The lossless view: one edge for each source, target and relation, with its number of rows."""
+    return edges.groupBy("source", "target", "relation").agg(F.count("*").alias("weight"))
 
 
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], most: int, slices: int = 32) -> DataFrame:

@@ -6,11 +6,11 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from graphloom.operators.graph import both_ways
+from graphloom.operators.graph import both_ways, degrees
 from graphloom.sources.tables import written
 
 # Weights of a term's hits, in tenths.
@@ -81,18 +81,20 @@ def term_scores(nodes: DataFrame, terms: Sequence[str]) -> DataFrame:
     return n.withColumn("score", score).filter("score > 0").drop("_label", "_description", "_tags")
 
 
-def find(nodes: DataFrame, question: str, limit: int = 10) -> DataFrame:
+def find(nodes: DataFrame, question: str, limit: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """The nodes that best answer a question: by score, equal ones by id downwards.
 
     A question without a term long enough is looked for as a whole in labels
-    and ids.
+    and ids; these nodes come by degree where edges are given, else and of
+    equals those created first.
     """
     terms = terms_of(question)
     if terms:
         return term_scores(nodes, terms).orderBy(F.desc("score"), F.desc("id")).limit(limit)
     whole = question.lower()
     hit = F.lower(F.coalesce("label", F.lit(""))).contains(whole) | F.lower("id").contains(whole)
-    return nodes.filter(hit).withColumn("score", F.lit(LABEL)).orderBy(F.desc("id")).limit(limit)
+    found = degrees(nodes, edges) if edges is not None else nodes.withColumn("degree", F.lit(0))
+    return found.filter(hit).withColumn("score", F.lit(LABEL)).orderBy(F.desc("degree"), "at", "id").limit(limit).drop("degree")
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -174,44 +176,33 @@ def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame) -> DataFr
     return path.select(F.col("depth").alias("hop"), "id")
 
 
-def _depth_first(depth: int):
-    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["at", "edge_id"])
-        after: dict[str, list[str]] = {}
-        for source, target in zip(table["source"], table["target"]):
-            after.setdefault(source, []).append(target)
-        start = table["seed"].iloc[0]
-        seen, out, stack = set(), [], [(start, 0, None)]
-        while stack:
-            node, far, parent = stack.pop()
-            if node in seen:
-                continue
-            seen.add(node)
-            out.append((start, len(out), node, far, parent))
-            if far < depth:
-                stack += [(t, far + 1, node) for t in after.get(node, []) if t not in seen]
-        return pd.DataFrame(out, columns=["seed", "visit", "id", "depth", "parent"])
-
-    return run
-
-
 def depth_first(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """The order in which a depth-capped depth-first walk from each seed visits nodes, the last edge of a node first.
-
-    Such a walk is sequential by nature.  Each seed walks in its own task
-    over its own bounded surroundings, which a breadth-first walk cuts out.
+    """The order in which a depth-capped depth-first walk from each seed visits nodes, the last edge of a node first: seed, visit, id, depth, parent.
+
+    A node is visited by the least path, edge by edge, of those over visited
+    nodes.  So paths are settled by rounds: each round takes for every node the
+    least of its predecessors' paths and one edge more, and rounds end when no
+    path changes.  A node's path is right a few rounds after those of all
+    nodes visited before it; where many nodes are reached by ever shorter
+    detours, rounds are many.
     """
-    parts = None
-    for row in seeds.select("id").collect():  # a question has a few seeds
-        near = walk(edges, edges.sparkSession.createDataFrame([(row.id,)], "id string"), depth)
-        part = induced(edges, near).select("source", "target", F.unix_micros(F.col("extracted_at").cast("timestamp")).alias("at"), "edge_id", F.lit(row.id).alias("seed"))
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return edges.sparkSession.createDataFrame([], "seed string, visit int, id string, depth int, parent string")
-    return parts.groupBy("seed").applyInPandas(_depth_first(depth), "seed string, visit int, id string, depth int, parent string")
+    at = F.unix_micros(F.col("extracted_at").cast("timestamp"))
+    steps = edges.filter("source <> target").select("source", "target", F.struct((-F.coalesce(at, F.lit(-(2**62)))).alias("at"), (-F.col("edge_id")).alias("edge")).alias("step"))
+    start = seeds.select(F.col("id").alias("seed"), "id").distinct().select("seed", "id", F.array().cast("array<struct<at:bigint,edge:bigint>>").alias("path"), F.lit(None).cast("string").alias("parent"))
+    paths = start = written(start, "seeds")
+    steps = written(steps.join(walk(edges, seeds, depth - 1).select(F.col("id").alias("source")), "source", "left_semi"), "steps") if depth > 0 else steps.limit(0)
+    while True:
+        longer = paths.filter(F.size("path") < depth).join(steps, F.col("id") == F.col("source")).select("seed", F.col("target").alias("id"), F.concat("path", F.array("step")).alias("path"), F.col("id").alias("parent"))
+        least = start.unionByName(longer).groupBy("seed", "id").agg(F.min(F.struct("path", "parent")).alias("p"))
+        before, paths = paths, written(least.select("seed", "id", "p.path", "p.parent"), "paths")
+        both = paths.alias("a").join(before.alias("b"), ["seed", "id"], "full_outer")
+        if both.filter(~F.col("a.path").eqNullSafe(F.col("b.path"))).isEmpty():
+            break
+    order = Window.partitionBy("seed").orderBy("path")
+    return paths.select("seed", (F.row_number().over(order) - 1).alias("visit"), "id", F.size("path").alias("depth"), "parent")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The connected component of every node, named by its least id: id, component.
 
     Each round takes the least name among the neighbours, then jumps to that
@@ -220,15 +211,14 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """
     ways = written(undirected(edges), "ways")
     name = written(nodes.select("id", F.col("id").alias("component")), "component")
-    for _ in range(most):
+    while True:
         near = ways.join(name.select(F.col("id").alias("source"), "component"), "source").groupBy(F.col("target").alias("id")).agg(F.min("component").alias("n"))
         lower = name.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("n", "component")).alias("component"))
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
         step = written(lower.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "component")
         name = step.select("id", "component")
         if step.filter("was <> component").isEmpty():
-            break
-    return name
+            return name
 
 
 def rendered(nodes: DataFrame, edges: DataFrame, reached: DataFrame, budget: int = 2000) -> DataFrame:
@@ -238,10 +228,6 @@ def rendered(nodes: DataFrame, edges: DataFrame, reached: DataFrame, budget: int
     The running length is over the lines of one answer, which the budget
     bounds, as no more lines than its characters are taken.
     """
-    from pyspark.sql import Window
-
-    from graphloom.operators.graph import degrees
-
     d = degrees(nodes, edges).join(reached, "id")
     line = F.concat(F.lit("NODE "), clean_label(F.coalesce("label", "id")), F.lit(" [src="), F.coalesce("source_file", F.lit("")), F.lit(" loc="), F.coalesce("source_location", F.lit("")), F.lit("]"))
     first = d.select(F.when(F.col("depth") == 0, 0).otherwise(1).alias("kind"), (-F.col("degree")).alias("weight"), F.col("id").alias("key"), line.alias("text"))
@@ -269,5 +255,3 @@ def drift(before: DataFrame, now: DataFrame) -> DataFrame:
     like = overlap.join(olds, "old").join(news, "new").withColumn("union", F.col("no") + F.col("nn") - F.col("n"))
     best = like.groupBy("old").agg(F.max_by("new", F.struct((F.col("n") / F.col("union")).alias("j"), (-F.col("new")).alias("m"))).alias("expected"))
     return both.join(best, "old").filter("new <> expected").select("id", "old", "new", "expected")
-
-

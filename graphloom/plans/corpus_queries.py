@@ -9,7 +9,7 @@ from graphloom.functions.ids import base_name, normal_path
 from graphloom.operators import corpus, resolve, sync
 from graphloom.plans.graph_queries import _G, _N, _built, _nodes
 from graphloom.sources import exports
-from graphloom.sources.tables import table, written
+from graphloom.sources.tables import table
 from graphloom.streaming import debounce
 
 GLOBS = ["vendor/", "node_modules/", "*.min.js", "dist/", "docs/*", "!docs/*.md", "# comment", ""]
@@ -109,7 +109,7 @@ def _calls(spark, folder) -> DataFrame:
 
 def resolve_calls(spark, folder):
     """Calls resolved over all files by name."""
-    nodes = written(_nodes(spark, folder), "nodes")
+    nodes = _nodes(spark, folder)
     code = nodes.filter("file_type = 'code' and label <> ''")
     definitions = code.select("id", F.lower(F.trim(F.regexp_replace("label", r"\(\)$", ""))).alias("bare"), "source_file", F.col("at").alias("ord"))
     stems = code.select(F.regexp_replace(base_name("source_file"), r"\.[^.]*$", "").alias("stem")).filter("stem <> ''")
@@ -213,7 +213,7 @@ SQL = {
     "sensitive_files": _PATHS + rf", q AS (SELECT path FROM p UNION SELECT replace(source_file, '\', '/') FROM nodes) SELECT path FROM q WHERE {_any(_NAME, corpus.SENSITIVE)}",
     "paper_signals": f"SELECT doc_id, {_WEAK} AS weak FROM documents WHERE {_PAPER}",
     "read_paths": _PATHS + f" SELECT split_part(path, '/', 1) AS top, count(*) AS n_files FROM p WHERE NOT regexp_matches(path, '(^|/)\\.[^/]+/') AND NOT list_has_any(string_split(path, '/'), {corpus.IGNORED}) GROUP BY 1",
-    "ignore_globs": _PATHS + " SELECT DISTINCT path FROM p WHERE NOT (regexp_matches(path, '(^|/)(vendor|node_modules|dist)/') OR regexp_matches(path, '\\.min\\.js(/|$)') OR regexp_matches(path, '(^|/)docs/')) OR regexp_matches(path, '(^|/)docs/.*\\.md(/|$)')",
+    "ignore_globs": _PATHS + " SELECT DISTINCT path FROM p WHERE NOT (split_part(path, '/', 1) IN ('vendor', 'node_modules', 'dist') OR path LIKE '%.min.js' OR path LIKE 'docs/%') OR path LIKE 'docs/%.md'",
     "md_headings": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?ms)^```.*?^```[^\n]*$', '', 'g'), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) - 1 AS int) AS pos FROM t), h AS (SELECT doc_id, pos, length(regexp_extract(line, '^(#{1,6})\s+\S', 1)) AS level, trim(regexp_extract(line, '^#{1,6}\s+(.+?)\s*$', 1)) AS title FROM l),
 g AS (SELECT *, substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60) AS slug FROM h WHERE level > 0),

