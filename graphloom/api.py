@@ -48,6 +48,16 @@ class PropertyGraph:
     def get_neighbors(self, node: str, depth: int = 1, most: int = 30) -> DataFrame:
         return traversal.neighbours(self.edges, self._one(node), depth, most).join(self.nodes, "id")
 
+    def get_node(self, node: str, most: int = 30) -> DataFrame:
+        """A node's own row (depth 0) with its neighbours."""
+        return self.get_neighbors(node, 1, most).orderBy("depth", "id")
+
+    def explain(self, name: str, limit: int = 20) -> DataFrame:
+        """The successors, by degree, of the node that a name means first: id, label, relation, confidence, degree."""
+        first = traversal.matching(self.nodes, name, 1).select(F.col("id").alias("source"))
+        after = self.edges.join(first, "source", "left_semi").select(F.col("target").alias("id"), "relation", "confidence")
+        return graph.degrees(self.nodes, self.edges).join(after, "id").orderBy(F.desc("degree"), "id").limit(limit).select("id", "label", "relation", "confidence", "degree")
+
     def shortest_path(self, start: str, goal: str) -> DataFrame:
         return traversal.shortest_path(self.edges, self._one(start), self._one(goal))
 

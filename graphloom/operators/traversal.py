@@ -97,6 +97,14 @@ def find(nodes: DataFrame, question: str, limit: int = 10, edges: DataFrame | No
     return found.filter(hit).withColumn("score", F.lit(LABEL)).orderBy(F.desc("degree"), "at", "id").limit(limit).drop("degree")
 
 
+def matching(nodes: DataFrame, name: str, limit: int = 10) -> DataFrame:
+    """The nodes that a name means: id, label, exact; those whose id or label it is before those that hold it, of exact ones the last created first."""
+    word = folded_text(name)
+    label, node = folded(F.coalesce("label", F.lit(""))), F.lower("id")
+    found = nodes.withColumn("exact", (node == word) | (label == word)).filter(F.col("exact") | node.contains(word) | label.contains(word))
+    return found.orderBy(F.desc("exact"), F.when(F.col("exact"), -F.col("at")).otherwise(F.col("at")), "id").limit(limit).select("id", "label", "exact")
+
+
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Breadth-first from the seeds (id) along edges (source, target): every node reached within depth, and its distance.
 

@@ -141,13 +141,13 @@ def retention(spark, folder):
 
 
 def debounce_sessions(spark, folder):
-    """Bursts of clicks of each user."""
-    return debounce.sessions(table(spark, folder, "events").filter("event_type = 'click'"), ["user_id"], "6 hours").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n_events").alias("longest"))
+    """Bursts of events of each user."""
+    return debounce.sessions(table(spark, folder, "events"), ["user_id"], "6 hours").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n_events").alias("longest"))
 
 
 def debounce_stream(spark, folder):
     """The same bursts by a stream."""
-    s = debounce.stream_sessions(spark, table(spark, folder, "events").filter("event_type = 'click'"), "user_id", "6 hours")
+    s = debounce.stream_sessions(spark, table(spark, folder, "events"), "user_id", "6 hours")
     return s.groupBy(F.col("key").cast("bigint").alias("user_id")).agg(F.count("*").alias("n_sessions"), F.max("n_events").alias("longest"))
 
 
@@ -157,9 +157,15 @@ def changed_batches(spark, folder):
     return b.groupBy("repo").agg(F.count("*").alias("n_batches"), F.sum("n_paths").alias("n_paths"), F.count_if("needs_update").alias("n_updates"))
 
 
+def watched_files(spark, folder):
+    """Paths whose changes are looked at, of files, documents and nodes."""
+    paths = _paths(spark, folder).select("path").unionByName(table(spark, folder, "nodes").select(normal_path("source_file").alias("path"))).distinct()
+    return paths.filter(debounce.watched("path"))
+
+
 def export_node_link(spark, folder):
     nodes, edges = _built(spark, folder)
-    return exports.node_link(nodes, edges)
+    return exports.node_link(nodes, edges, table(spark, folder, "hyperedges"))
 
 
 def export_graphml(spark, folder):
@@ -195,16 +201,35 @@ _PAPER = f"({_any(_TEXT_HEAD, corpus.STRONG)} OR {_WEAK} >= 3)"
 _TYPE = f"CASE WHEN {_any(_NAME, corpus.SENSITIVE)} THEN NULL WHEN {_EXT} IN {_in(corpus.CODE)} THEN 'code' WHEN {_EXT} IN ('pdf') THEN 'paper' WHEN {_EXT} IN {_in(corpus.IMAGE)} THEN 'image' WHEN {_EXT} IN {_in(corpus.VIDEO)} THEN 'video' WHEN {_EXT} IN {_in(corpus.PROSE)} AND {_PAPER} THEN 'paper' WHEN {_EXT} IN {_in(corpus.DOCUMENT)} THEN 'document' END"
 _LINES = r"l AS (SELECT file_id, unnest(string_split(regexp_replace(coalesce(content, ''), '\r\n?', chr(10), 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(coalesce(content, ''), '\r\n?', chr(10), 'g'), chr(10)), 1) AS line FROM f)"
 _BURSTS = "{0}, s AS (SELECT *, CASE WHEN {1} - lag({1}) OVER w <= INTERVAL {2} THEN 0 ELSE 1 END AS fresh FROM {3} WINDOW w AS (PARTITION BY {4} ORDER BY {1})), b AS (SELECT *, sum(fresh) OVER (PARTITION BY {4} ORDER BY {1} RANGE UNBOUNDED PRECEDING) AS burst FROM s)"
-_CLICKS = _BURSTS.format("WITH x AS (SELECT * FROM events WHERE event_type = 'click')", "ts", "6 hours", "x", "user_id") + ", c AS (SELECT user_id, burst, count(*) AS n FROM b GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY user_id"
+_EVENTS = _BURSTS.format("WITH x AS (SELECT * FROM events)", "ts", "6 hours", "x", "user_id") + ", c AS (SELECT user_id, burst, count(*) AS n FROM b GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY user_id"
 _MANIFEST = r"""WITH m AS (SELECT replace(path, '\', '/') AS path, substr(sha256(coalesce(content, '')), 1, 16) AS hash, committed_at, ingested_at FROM source_files WHERE path IS NOT NULL),
 now AS (SELECT path, arg_max(hash, (committed_at, ingested_at, hash)) AS hash FROM m GROUP BY 1), bef AS (SELECT path, arg_max(hash, (committed_at, ingested_at, hash)) AS hash FROM m WHERE committed_at < TIMESTAMP '""" + SPLIT + r"""' GROUP BY 1),
 st AS (SELECT coalesce(n.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN n.hash = b.hash THEN 'confirmed' ELSE 'changed' END AS state FROM now n FULL JOIN bef b ON n.path = b.path)"""
 
+
+
+def _json(fields: list[str]) -> str:
+    """An object of the fields that aren't null, as text."""
+    return "'{' || array_to_string(list_filter([" + ", ".join(f"""'"{x}":' || CAST(to_json({x}) AS varchar)""" for x in fields) + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
+def _xml(value: str) -> str:
+    return f"""replace(replace(replace(replace(coalesce(CAST({value} AS varchar), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+
+
+def _data(name: str, value: str) -> str:
+    return f"""CASE WHEN {name} IS NULL THEN '' ELSE '<data key="{name}">' || {_xml(value)} || '</data>' END"""
+
+
+def _quoted(value: str) -> str:
+    return f"chr(39) || regexp_replace(replace(replace(coalesce({value}, ''), chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)), '[\\r\\n]+', ' ', 'g') || chr(39)"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         classify_files, corpus_stats, sensitive_files, paper_signals, read_paths, ignore_globs, md_headings, md_links, md_codeblocks, md_titles, nearest_def, file_imports, file_definitions, tree_rollup, resolve_calls,
-        manifest_diff, uncached_files, retention, debounce_sessions, debounce_stream, changed_batches, export_node_link, export_graphml, export_cypher, export_notes,
+        manifest_diff, uncached_files, retention, debounce_sessions, debounce_stream, changed_batches, watched_files, export_node_link, export_graphml, export_cypher, export_notes,
     )
 }
 SQL = {
@@ -233,8 +258,18 @@ SELECT array_to_string(ps[1:i], '/') AS path, CASE WHEN i > 1 THEN array_to_stri
     "manifest_diff": _MANIFEST + " SELECT state, count(*) AS n_paths FROM st GROUP BY 1",
     "uncached_files": _MANIFEST + " SELECT path, hash FROM now WHERE NOT EXISTS (SELECT 1 FROM bef WHERE bef.path = now.path AND bef.hash = now.hash)",
     "retention": _MANIFEST + _N.replace("WITH RECURSIVE ", ", ") + " SELECT file_type, count(*) AS n_nodes FROM n WHERE coalesce(source_file, '') NOT IN (SELECT path FROM st WHERE state <> 'new') GROUP BY 1",
-    "debounce_sessions": _CLICKS,
-    "debounce_stream": _CLICKS,
+    "debounce_sessions": _EVENTS,
+    "debounce_stream": _EVENTS,
     "changed_batches": _BURSTS.format("WITH " + _FILES + ", x AS (SELECT *, path AS name FROM f WHERE path IS NOT NULL AND committed_at IS NOT NULL)", "committed_at", "1 day", "x", "repo") + f", c AS (SELECT repo, burst, count(DISTINCT path) AS k, bool_or({_EXT} NOT IN {_in(corpus.CODE)}) AS u FROM b GROUP BY 1, 2) SELECT repo, count(*) AS n_batches, CAST(sum(k) AS bigint) AS n_paths, count(*) FILTER (u) AS n_updates FROM c GROUP BY 1",
+    "watched_files": _PATHS + r""", q AS (SELECT path FROM p UNION SELECT replace(source_file, '\', '/') FROM nodes)
+SELECT path FROM q WHERE regexp_matches(lower(path), '\.(py|ts|js|jsx|tsx|mjs|ejs|go|rs|java|cpp|cc|cxx|c|h|hpp|rb|swift|kt|kts|cs|scala|php|lua|toc|zig|ps1|ex|exs|m|mm|jl|vue|svelte|dart|v|sv|sql|r|pdf|md|txt|rst|html|tex)$')
+AND NOT regexp_matches(path, '(^|/)\.') AND NOT list_contains(string_split(path, '/'), 'graph-out') AND NOT (list_contains(string_split(path, '/'), 'LLM Wiki') AND list_contains(string_split(path, '/'), '_meta'))""",
+    "export_node_link": _G + f" SELECT 'nodes' AS part, id AS key, {_json(['id', 'label', 'file_type', 'source_file', 'source_location', 'community', 'description', 'tags'])} AS line FROM n UNION ALL SELECT 'links', source || '|' || target, {_json(['source', 'target', 'relation', 'confidence', 'weight'])} FROM g UNION ALL SELECT 'hyperedges', CAST(hyperedge_key AS varchar), {_json(['id', 'type', 'label', 'members', 'size', 'source_file'])} FROM (SELECT hyperedge_key, any_value(id) AS id, any_value(type) AS type, any_value(label) AS label, any_value(members) AS members, any_value(size) AS size, any_value(source_file) AS source_file FROM hyperedges GROUP BY 1)",
+    "export_graphml": _G + " SELECT 'node' AS part, id AS key, '<node id=\"' || " + _xml("id") + " || '\">' || " + " || ".join(_data(x, "to_json(tags)" if x == "tags" else x) for x in ("label", "file_type", "source_file", "source_location", "community", "description", "tags")) + " || '</node>' AS line FROM n UNION ALL SELECT 'edge', source || '|' || target, '<edge source=\"' || " + _xml("source") + " || '\" target=\"' || " + _xml("target") + " || '\">' || " + " || ".join(_data(x, x) for x in ("relation", "confidence", "weight")) + " || '</edge>' FROM g",
+    "export_cypher": _G + f""", h AS (SELECT hyperedge_key, max(label) AS label, max(members) AS members FROM hyperedges GROUP BY 1), m AS (SELECT DISTINCT hyperedge_key, unnest(members) AS m FROM h)
+SELECT 1 AS step, id AS key, 'CREATE (:Node {{id: ' || {_quoted("id")} || ', label: ' || {_quoted("label")} || ', file_type: ' || {_quoted("file_type")} || '}});' AS line FROM n
+UNION ALL SELECT 2, source || '|' || target, 'MATCH (a:Node {{id: ' || {_quoted("source")} || '}}), (b:Node {{id: ' || {_quoted("target")} || '}}) CREATE (a)-[:' || upper(regexp_replace(coalesce(nullif(relation, ''), 'related'), '[^A-Za-z0-9]+', '_', 'g')) || ' {{weight: ' || weight || '}}]->(b);' FROM g
+UNION ALL SELECT 3, CAST(hyperedge_key AS varchar), 'CREATE (:HyperEdge {{id: ' || hyperedge_key || ', label: ' || {_quoted("label")} || '}});' FROM h
+UNION ALL SELECT 4, hyperedge_key || '|' || m, 'MATCH (a:Node {{id: ' || {_quoted("m")} || '}}), (h:HyperEdge {{id: ' || hyperedge_key || '}}) CREATE (a)-[:MEMBER_OF]->(h);' FROM m WHERE m IS NOT NULL""",
     "export_notes": _G + " SELECT id, 0 AS part, '# ' || coalesce(nullif(label, ''), id) AS line FROM n UNION ALL SELECT source, 1, '- ' || coalesce(relation, '') || ' -> [[' || target || ']]' FROM g UNION ALL SELECT target, 2, '- ' || coalesce(relation, '') || ' <- [[' || source || ']]' FROM g",
 }

@@ -300,6 +300,11 @@ def explain(spark, folder):
     return graph.degrees(nodes, edges).join(after, "id").orderBy(F.desc("degree"), "id").limit(20).select("id", "label", "relation", "degree")
 
 
+def match_nodes(spark, folder):
+    """The nodes that a name means."""
+    return traversal.matching(_nodes(spark, folder), "Parser")
+
+
 def _ends(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = _built(spark, folder)
     return edges, written(traversal.find(nodes, "parser", 1).select("id"), "start"), written(traversal.find(nodes, "quartz", 1).select("id"), "goal")
@@ -456,7 +461,7 @@ QUERIES = {
         node_upsert, edge_repair, edge_upsert_runs, relation_edges, validate_errors, apply_semantic_nodes, apply_semantic_edges, apply_enrichments, merge_nodes, merge_edges, graph_counts, degree_all, god_nodes,
         confidence_distribution, relation_distribution, surprising_connections, community_summary, cohesion, weighted_degree_p95, isolates, class_groups, community_groups, centrality_within, bridging_nodes, hyperedges_for,
         list_hyperedges, find_nodes, find_nodes_short, find_nodes_folded, infer_context, context_filter_edges, filter_by_relation, filter_by_decorator, callers_of, callees_of, bfs_nodes, bfs_edges, question_query, render_nodes, dfs_nodes,
-        khop_neighbors, khop_induced_edges, explain, shortest_path_length, shortest_path_nodes, connected_components, louvain, evolution_nodes, evolution_edges, evolution_moves, evolution_totals,
+        khop_neighbors, khop_induced_edges, explain, match_nodes, shortest_path_length, shortest_path_nodes, connected_components, louvain, evolution_nodes, evolution_edges, evolution_moves, evolution_totals,
     )
 }
 SQL = {
@@ -524,6 +529,8 @@ SELECT id, edges_to_a, edges_to_b, in_both, edges_to_a + edges_to_b AS strength
     "khop_neighbors": _NEAR + " SELECT id, depth FROM near",
     "khop_induced_edges": _NEAR + " SELECT source, target, relation, weight FROM g WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)",
     "explain": _G + f" SELECT d.id, d.label, g.relation, d.degree FROM g JOIN d ON d.id = g.target WHERE g.source = (SELECT source FROM g GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ORDER BY d.degree DESC, d.id LIMIT 20",
+    "match_nodes": _N + """, k AS (SELECT *, lower(strip_accents(coalesce(label, ''))) AS l, lower(id) AS i FROM n), o AS (SELECT *, i = 'parser' OR l = 'parser' AS exact FROM k WHERE contains(i, 'parser') OR contains(l, 'parser'))
+SELECT id, label, exact FROM o ORDER BY exact DESC, CASE WHEN exact THEN -born ELSE born END, id LIMIT 10""",
     "shortest_path_length": _PATH + " SELECT id, depth AS length FROM reached WHERE id IN (SELECT id FROM goal)",
     "shortest_path_nodes": _PATH + ", p AS (SELECT depth AS hop, id FROM reached WHERE id IN (SELECT id FROM goal) UNION ALL SELECT hop, id FROM (SELECT p.hop - 1 AS hop, min(reached.id) AS id FROM p JOIN ways ON ways.b = p.id JOIN reached ON reached.id = ways.a AND reached.depth = p.hop - 1 WHERE p.hop > 0 GROUP BY p.hop)) SELECT hop, id FROM p",
     "connected_components": _G + ", c0 AS MATERIALIZED (SELECT id, id AS c FROM n)" + "".join(

@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NODE = ["id", "label", "file_type", "source_file", "source_location", "community", "description", "tags"]
+_GROUP = ["id", "type", "label", "members", "size", "source_file"]
 _EDGE = ["source", "target", "relation", "confidence", "weight"]
 
 
-def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON object for each node and link: part ('nodes' or 'links'), key, line."""
+def node_link(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame | None = None) -> DataFrame:
+    """One JSON object for each node, link and group: part ('nodes', 'links' or 'hyperedges'), key, line.  Nulls are left out."""
     n = nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("key"), F.to_json(F.struct(*_NODE)).alias("line"))
-    return n.unionByName(edges.select(F.lit("links").alias("part"), F.concat_ws("|", "source", "target").alias("key"), F.to_json(F.struct(*_EDGE)).alias("line")))
+    out = n.unionByName(edges.select(F.lit("links").alias("part"), F.concat_ws("|", "source", "target").alias("key"), F.to_json(F.struct(*_EDGE)).alias("line")))
+    if hyperedges is None:
+        return out
+    one = hyperedges.groupBy("hyperedge_key").agg(*(F.any_value(x).alias(x) for x in _GROUP))
+    return out.unionByName(one.select(F.lit("hyperedges").alias("part"), F.col("hyperedge_key").cast("string").alias("key"), F.to_json(F.struct(*_GROUP)).alias("line")))
 
 
 def read_node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.ids import normal_path
 from graphloom.operators.corpus import CODE, ending
 from graphloom.sources.tables import shared_folder
 
+# File endings beside code whose changes are looked at.
+WATCHED = ["pdf", "md", "txt", "rst", "html", "tex"]
+
+
+def watched(path: Column | str) -> Column:
+    """Whether a change of this path is looked at: its ending is one of code or text, none of its parts is hidden or the graph's own folder."""
+    parts = F.split(normal_path(path), "/")
+    own = F.array_contains(parts, "graph-out") | (F.array_contains(parts, "LLM Wiki") & F.array_contains(parts, "_meta"))
+    return ending(path).isin(CODE + WATCHED) & ~F.exists(parts, lambda p: p.startswith(".")) & ~own
+
 
 def sessions(events: DataFrame, keys: Sequence[str], gap: str, at: str = "ts", *more: Column) -> DataFrame:
     """Per key, the bursts of events: begin, until (the last event's time plus the gap), n_events.
