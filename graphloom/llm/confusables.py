@@ -27,35 +27,35 @@ SLICES = 8
 
 # Letters that look like a Latin letter, after the Unicode confusables data (prototype: look-alikes).
 _LATIN = """
-A: АΑᎪᗅꓮ
-B: ВΒᏴᗷꓐ
-C: СϹᏟꓚ
+A: АΑᎪᗅꓮ𐊠
+B: ВΒᏴᗷꓐ𐊂𐊡𐌁
+C: СϹᏟꓚⲤ𐐕𐊢𐌂
 D: Ꭰᗞꓓ
-E: ЕΕᎬꓰ
-F: Ϝᖴꓝ
+E: ЕΕᎬꓰ𐊆
+F: Ϝᖴꓝ𐊇𐊥
 G: ԌᏀꓖ
-H: НΗᎻᕼꓧ
-I: ІΙӀꓲ
+H: НΗᎻᕼꓧⲎ𐋏
+I: ІΙӀꓲⲒ𐊊𐌉
 J: ЈͿᎫᒍꓙ
-K: КΚᏦꓗ
-L: Ꮮᒪꓡ
-M: МΜϺᎷᗰꓟ
-N: ΝꓠՆ
-O: ОΟՕꓳ
-P: РΡᏢᑭꓑ
+K: КΚᏦꓗⲔ
+L: Ꮮᒪꓡ𐐛
+M: МΜϺᎷᗰꓟⲘ𐌑
+N: ΝꓠՆⲚ
+O: ОΟՕꓳⲞ𐐄𐊒𐊫𐓂
+P: РΡᏢᑭꓑⲢ
 Q: Ԛ
 R: ᎡᏒᖇꓣ
-S: ЅՏᏕꓢ
-T: ТΤᎢꓔ
+S: ЅՏᏕꓢ𐐠𐊖
+T: ТΤᎢꓔⲦ𐊗𐌕
 U: Սሀᑌꓴ
 V: ѴᏙᐯꓦ
 W: ԜᎳᏔꓪ
-X: ХΧ᙭ꓫ
-Y: УΥҮᎩꓬ
-Z: ΖᏃꓜ
+X: ХΧ᙭ꓫⲬ𐊐𐌗
+Y: УΥҮᎩꓬⲨ𐊲
+Z: ΖᏃꓜⲌ
 a: аαɑ⍺
 b: ЬᏏᖯ
-c: сϲᴄ
+c: сϲᴄⲥ𐐽ꮯ
 d: ԁᏧᑯ
 e: еҽ℮
 f: ẝꬵϝ
@@ -65,17 +65,17 @@ i: іιɩıӏ
 j: јϳ
 l: ⅼ
 n: ոռ
-o: оοօσᴏ၀
-p: рρϱ⍴
+o: оοօσᴏ၀ⲟ𐐬ഠ
+p: рρϱ⍴ⲣ
 q: ԛգզ
-r: гᴦⲅ
-s: ѕꜱ
-u: υսʋᴜ
-v: ѵνᴠ
-w: ԝաѡᴡ
+r: гᴦⲅⲅꭇ
+s: ѕꜱ𐑈ꮪ
+u: υսʋᴜꭎ𐓶
+v: ѵνᴠꮩ
+w: ԝաѡᴡꮃ
 x: х×⤫
-y: уүγʏ
-z: ᴢ
+y: уүγʏꭚỿ
+z: ᴢꮓ
 ß: β
 þ: ϸ
 æ: ӕ
@@ -95,6 +95,7 @@ _SIGNS = """
 -: ‐‑‒–﹘⁃−˗
 ': ’‘‛ʼʹ′ʻ
 ": ”“‟″
+,: ‚
 /: ⁄∕
 :: ∶ː
 .: ․
