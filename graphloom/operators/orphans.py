@@ -21,8 +21,8 @@ from graphloom.sources.tables import written
 
 #: Parents in a range, and references in a slice of a range, on average.
 RANGE_KEYS, SLICE_REFERENCES = 20_000, 100_000
-#: Slices that one task looks up, on average.
-TASK_SLICES = 8
+#: Slices that one task looks up, on average, and tasks from which it looks up more.
+TASK_SLICES, MOST_TASKS = 2, 50_000
 
 _FOUND = "ref_table string, ref_key long, field string, node_ref string, at timestamp, reason string"
 _ALWAYS, _NEVER = -(2**63), 2**63 - 1
@@ -105,7 +105,7 @@ def orphans(refs: DataFrame, keys: DataFrame, range_keys: int = RANGE_KEYS, slic
     right = keys.select("*", in_range).join(slices, "range").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
     # a cogroup's partitions aren't split at run time, so their number follows the data: some slices each
     total = slices.agg(F.sum("slices")).first()[0] or 1
-    partitions = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SLICES))
+    partitions = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-total // TASK_SLICES)))
     left, right = (x.repartition(partitions, "range", "slice") for x in (left, right))
     return left.groupBy("range", "slice").cogroup(right.groupBy("range", "slice")).applyInArrow(_probe, _FOUND).distinct()
 
