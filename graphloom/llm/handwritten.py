@@ -15,6 +15,7 @@ of files over several repositories; idioms recur too, but not together.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -82,22 +83,24 @@ def _scan(content: str, path: str | None, language: str | None, known: dict[str,
         elif header:
             if header := kind == "text" and opens_line(text, start):
                 generated = generated or hashes and len(token) > 6 and any(map(_GENERATED.search, token.split("\n")))
-    code = [(kind, token) for kind, token in zip(kinds, tokens) if kind != "comment"]
-    texts = [token for kind, token in code if kind == "text"]
-    names = sum(len(token) for kind, token in code if kind == "name")
-    literals = len(texts) + sum(kind == "number" for kind, _ in code)
-    packed = sum(len(x) for x in texts if len(x) > 40 and not any(map(str.isspace, x)))
-    size = len(text) - sum(len(token) for kind, token in zip(kinds, tokens) if kind == "comment")
-    blanks = size - sum(len(token) for _, token in code)
-
-    def hashed(shapes: list[str]) -> list[int]:
-        for shape in set(shapes):
-            if shape not in known:
-                known[shape] = int.from_bytes(blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        return [known[shape] for shape in shapes]
-
-    stream = hashed(["0" if kind == "number" else token for kind, token in code])
-    frame = hashed([token if kind == "sign" else kind for kind, token in code])
+    times = Counter(tokens)
+    kind_of = dict(zip(tokens, kinds))
+    of = {kind: [x for x in times if kind_of[x] == kind] for kind in ("name", "number", "text", "comment", "sign")}
+    long = lambda kind: sum(len(x) * times[x] for x in of[kind])
+    names, literals = long("name"), sum(times[x] for x in of["text"] + of["number"])
+    packed = sum(len(x) * times[x] for x in of["text"] if len(x) > 40 and not any(map(str.isspace, x)))
+    size = len(text) - long("comment")
+    blanks = size - names - long("number") - long("text") - long("sign")
+
+    def hashed(shape: str) -> int:
+        if shape not in known:
+            known[shape] = int.from_bytes(blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        return known[shape]
+
+    code = [token for kind, token in zip(kinds, tokens) if kind != "comment"] if of["comment"] else tokens
+    value = {token: hashed("0" if kind == "number" else token) for token, kind in kind_of.items() if kind != "comment"}
+    shape = {token: hashed(token if kind == "sign" else kind) for token, kind in kind_of.items() if kind != "comment"}
+    stream, frame = [value[token] for token in code], [shape[token] for token in code]
     lines = text.count("\n") + 1
     minified = size >= 200 and blanks < 0.1 * size and names > 0.15 * size and size / lines > 80
     data = size >= 200 and names < 0.03 * size and (literals >= 20 or packed >= 200)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, compress
 
 # The languages that comment with `#`; the others comment as C does.
 HASH_LANGUAGES = {"python", "py", "ruby", "bash", "sh"}
@@ -48,9 +48,10 @@ def scanned(text: str, hashes: bool) -> tuple[list[str], list[str], list[int]]:
     """The tokens of a text: their kinds, themselves, and where they begin.  Blanks and line ends are none."""
     tokens = _scanner(hashes).findall(text)
     kinds = {token: _kind(token, hashes) for token in set(tokens)}
-    begins = accumulate(map(len, tokens), initial=0)
-    found = [(kind, token, start) for token, start in zip(tokens, begins) if (kind := kinds[token]) != "blank"]
-    return tuple(map(list, zip(*found))) if found else ([], [], [])
+    kept = [kinds[token] != "blank" for token in tokens]
+    starts = list(compress(accumulate(map(len, tokens), initial=0), kept))
+    tokens = list(compress(tokens, kept))
+    return [kinds[token] for token in tokens], tokens, starts
 
 
 def opens_line(text: str, start: int) -> bool:
