@@ -1,22 +1,28 @@
-"""Communities of a graph by synchronous Louvain, with rules that split what comes out too large or too loose."""
+"""Communities of a graph by synchronous Louvain, with rules that split what comes out too large or too loose.
+
+Up to NODES nodes are numbered and moved over arrays (moves.py); larger graphs are moved by joins until a level leaves so few.
+"""
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
+from itertools import count
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import moves
+from graphloom.operators.moves import GAIN, LEVELS, MOST_PARTS, PARTS
 from graphloom.sources.tables import written
 
 # The part of all nodes, and the size, beyond which a community is split; cohesion and size of a loose one.
 FRACTION, SPLIT_SIZE, LOOSE, LOOSE_SIZE = 0.25, 10, 0.05, 50
-#: The gain of modularity below which a round or a level is the last.
-GAIN = 1e-4
-#: Levels of contraction, and rounds of moves in a level, after which moves stop whatever is left; that is logged.
-LEVELS, ROUNDS = 10, 10
-#: Parts of the nodes that move one after the other in a round, at first and at most.
-PARTS, MOST_PARTS = 2, 16
+#: Nodes up to which the driver holds a number for each.
+NODES = 2**22
 
 log = logging.getLogger(__name__)
 
@@ -45,7 +51,7 @@ def _moved(pairs: DataFrame, names: DataFrame, strength: DataFrame, total: float
     return choice.unionByName(names.filter(~moves))
 
 
-def _level(pairs: DataFrame, rounds: int, start: float) -> tuple[DataFrame, float]:
+def _level(pairs: DataFrame, start: float) -> tuple[DataFrame, float]:
     """One level of moves: id, c, and the modularity reached from `start`, that of every node alone.
 
     In a round every node may move once.  The nodes of a part, by a hash that
@@ -56,7 +62,7 @@ def _level(pairs: DataFrame, rounds: int, start: float) -> tuple[DataFrame, floa
     strength = written(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0] or 0.0
     names, reached, parts = written(strength.select("id", F.col("id").alias("c")), "names"), start, PARTS
-    for turn in range(rounds):
+    for turn in count():
         after = names
         for part in range(parts):
             after = written(_moved(pairs, after, strength, total, F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(parts)) == part), "names")
@@ -67,17 +73,48 @@ def _level(pairs: DataFrame, rounds: int, start: float) -> tuple[DataFrame, floa
             if gain >= 0 or parts >= MOST_PARTS:
                 return names, reached
             parts *= 2
-    log.warning("Louvain: %d rounds of a level done, the last gained %g", rounds, gain)
-    return names, reached
 
 
-def partition(edges: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS) -> DataFrame:
+def _labelled(index: DataFrame, c: np.ndarray, name: str) -> DataFrame:
+    """The rows of an index (id, n) with what an array holds at their numbers: id and the named column."""
+    sent = index.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value[batch.column(1).to_numpy()], pa.int32())], names=["id", name])
+
+    return index.select("id", "n").mapInArrow(run, f"id string, {name} int")
+
+
+def _pairs_of(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of ids as pairs of numbers."""
+    a, b = index.select(F.col("id").alias("a"), F.col("n").alias("na")), index.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+    return pairs.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "w")
+
+
+def _few(pairs: DataFrame, graphs: DataFrame, levels: int) -> DataFrame:
+    """Communities of at most NODES nodes: id, c (a node's id); each graph (id, graph) is partitioned by itself, by pairs within it."""
+    index = written(numbered(graphs, "n", "id"), "index")
+    rows = index.select("n", "graph").toArrow()
+    _, g = np.unique(np.asarray(rows["graph"].combine_chunks().dictionary_encode().indices), return_inverse=True) if rows.num_rows else (None, np.zeros(0, "i8"))
+    graph = np.empty(len(g), "i4")
+    graph[rows["n"].to_numpy()] = g
+    c = moves.partition(moves.Neighbours.of(_pairs_of(index, pairs)), graph, np.ones(int(g.max(initial=-1)) + 1, bool), levels)
+    return _labelled(index, c, "n").join(index.select("n", F.col("id").alias("c")), "n").select("id", "c")
+
+
+def partition(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Communities of the nodes that have edges: id, c (the name of one of its nodes)."""
     pairs = written(pair_weights(edges.filter("source <> target")), "pairs")
     names = written(pairs.select(F.col("a").alias("id"), F.col("a").alias("c")).distinct(), "names")
-    reached = modularity(pairs, names)
-    for _ in range(levels):
-        level, after = _level(pairs, rounds, reached)
+    reached = None
+    for left in range(levels, 0, -1):
+        now = written(names.select(F.col("c").alias("id"), F.lit(0).alias("graph")).distinct(), "level")
+        if now.count() <= NODES:
+            level = _few(pairs, now, left)
+            return written(names.withColumnRenamed("c", "was").join(level.withColumnRenamed("id", "was"), "was").select("id", "c"), "names")
+        reached = modularity(pairs, now.select("id", F.col("id").alias("c"))) if reached is None else reached
+        level, after = _level(pairs, reached)
         names = written(names.withColumnRenamed("c", "was").join(level.withColumnRenamed("id", "was"), "was").select("id", "c"), "names")
         gain, reached = after - reached, after
         if gain < GAIN:
@@ -94,12 +131,26 @@ def _inside(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _split(names: DataFrame, edges: DataFrame, which: DataFrame) -> DataFrame:
-    """The named communities (c) are partitioned once more by their own edges; nodes without one are communities of their own."""
+    """The named communities (c) are partitioned once more, each by its own edges; nodes without one are communities of their own.
+
+    Communities are taken together as far as their nodes are about NODES.
+    """
     which = written(which, "split")
     if which.isEmpty():
         return names
-    again = partition(_inside(edges, names.join(which, "c", "left_semi")).select("source", "target", "weight"))
-    apart = names.join(which, "c", "left_semi").select("id").join(again, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    chosen = written(names.join(which, "c", "left_semi"), "chosen")
+    own = written(_inside(edges, chosen).select("source", "target", "weight", F.col("cs").alias("c")), "own")
+    sizes = written(chosen.groupBy("c").agg(F.count("*").alias("size")), "sizes")
+    large = [r.c for r in sizes.filter(F.col("size") > NODES // 2).collect()]  # few, as each has so many nodes
+    turns = ceil((sizes.filter(F.col("size") <= NODES // 2).agg(F.sum("size")).first()[0] or 0) / max(1, NODES // 2))
+    again = [partition(own.filter(F.col("c") == c)) for c in large]
+    turn = F.when(F.col("c").isin(large), -1).otherwise(F.pmod(F.xxhash64("c"), F.lit(max(1, turns))))
+    for t in range(turns):
+        again.append(_few(pair_weights(own.filter(turn == t)), chosen.filter(turn == t).select("id", F.col("c").alias("graph")), LEVELS))
+    parts = again[0]
+    for more in again[1:]:
+        parts = parts.unionByName(more)
+    apart = chosen.select("id").join(parts, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
     return written(names.join(which, "c", "left_anti").select("id", "c").unionByName(apart), "named")
 
 
@@ -120,8 +171,39 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own edges; then so is one of 50 and more whose cohesion is below 0.05.
     """
     simple = edges.select("source", "target", "weight").filter("source <> target")
-    names = written(nodes.select("id").join(partition(simple), "id", "left").select("id", F.coalesce("c", "id").alias("c")), "named")
-    most = max(SPLIT_SIZE, int(FRACTION * names.count()))
+    index = numbered(nodes.select("id").filter("id is not null").distinct(), "n", "id")
+    n = index.count()
+    if n > NODES:
+        return _by_joins(index.select("id"), simple, n)
+    one = _pairs_of(index, simple.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").cast("double").alias("w")))
+    one = one.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
+    ways = one.select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("p")).select("p.*")
+    near = moves.Neighbours.of(ways)
+
+    def split(c: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The communities that `which` marks by name are partitioned once more."""
+        if not which.any():
+            return c
+        g = np.zeros(len(which), "i4")
+        g[which] = np.arange(1, which.sum() + 1)  # a graph each; the rest is graph 0
+        return np.where(which[c], moves.partition(near, g[c], np.arange(g.max() + 1) > 0), c)
+
+    c = moves.partition(near, np.zeros(n, "i4"), np.ones(1, bool))
+    c = split(c, np.bincount(c, minlength=n) > max(SPLIT_SIZE, int(FRACTION * n)))
+    size = np.bincount(c, minlength=n)
+    name, _, twice = near.ask(moves.links, c)
+    cohesion = np.bincount(name, twice, n) / np.maximum(1.0, size * (size - 1.0))
+    c = split(c, (size >= LOOSE_SIZE) & (cohesion < LOOSE))
+    size = np.bincount(c, minlength=n)
+    place = np.empty(n, "i4")
+    place[np.argsort(-size, kind="stable")] = np.arange(n)  # a community's name is its least member
+    return _labelled(index, place[c], "community")
+
+
+def _by_joins(nodes: DataFrame, simple: DataFrame, n: int) -> DataFrame:
+    """Communities of n nodes, more than the driver holds numbers for."""
+    names = written(nodes.join(partition(simple), "id", "left").select("id", F.coalesce("c", "id").alias("c")), "named")
+    most = max(SPLIT_SIZE, int(FRACTION * n))
     names = _split(names, simple, names.groupBy("c").agg(F.count("*").alias("size")).filter(F.col("size") > most).select("c"))
     size = names.groupBy("c").agg(F.count("*").alias("size")).filter(F.col("size") >= LOOSE_SIZE)
     pairs = _inside(simple, names).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col("cs").alias("c")).distinct().groupBy("c").agg(F.count("*").alias("pairs"))

@@ -44,7 +44,22 @@ def repair_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("source", "target"):
         hit = index.select(F.col("normal").alias("n"), F.col("last").alias("l"), F.col("ids").alias("i"))
         rows = rows.withColumn("n", normal_id(end)).join(hit, "n").withColumn(end, F.when(F.array_contains("i", F.col(end)), F.col(end)).otherwise(F.col("l"))).drop("n", "l", "i")
-    return rows.withColumn("source_file", normal_path("source_file"))
+    return rows.withColumn("source_file", normal_path("source_file")) if "source_file" in rows.columns else rows
+
+
+def _last_runs(edges: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with relation r and order o, each pair's last relation with the end of the one before it, and the rows of each pair's last run."""
+    pair = ["source", "target"]
+    rows = edges.withColumn("r", F.coalesce("relation", F.lit("\x00"))).withColumn("o", F.struct(*order))
+    last = rows.groupBy(*pair, "r").agg(F.max("o").alias("o"))  # a pair's relations are few, whatever its rows
+    bounds = last.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("o", "r")), asc=False).alias("l")).select(*pair, F.col("l")[0]["r"].alias("r"), F.try_element_at("l", F.lit(2))["o"].alias("after"))
+    run = rows.join(bounds, [*pair, "r"]).filter(F.col("after").isNull() | (F.col("o") > F.col("after")))
+    return rows, bounds, run
+
+
+def edge_weights(edges: DataFrame, order: Sequence[str] = ("extracted_at", "edge_id")) -> DataFrame:
+    """The edges of `upsert_edges` with their weights only."""
+    return _last_runs(edges, order)[2].groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
 def upsert_edges(edges: DataFrame, order: Sequence[str] = ("extracted_at", "edge_id")) -> DataFrame:
@@ -57,11 +72,8 @@ def upsert_edges(edges: DataFrame, order: Sequence[str] = ("extracted_at", "edge
     run, so that later runs add to them.  Null where no row repeats one.
     Only pairs with several relations are looked at row by row.
     """
-    pair, key = ["source", "target"], F.struct(*order)
-    rows = edges.withColumn("r", F.coalesce("relation", F.lit("\x00"))).withColumn("o", key)
-    last = rows.groupBy(*pair, "r").agg(F.max("o").alias("o"))  # a pair's relations are few, whatever its rows
-    bounds = last.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct("o", "r")), asc=False).alias("l")).select(*pair, F.col("l")[0]["r"].alias("r"), F.try_element_at("l", F.lit(2))["o"].alias("after"))
-    run = rows.join(bounds, [*pair, "r"]).filter(F.col("after").isNull() | (F.col("o") > F.col("after")))
+    pair = ["source", "target"]
+    rows, bounds, run = _last_runs(edges, order)
     first = [F.min_by(x, "o").alias(x) for x in ("relation", "confidence", "source_file", "source_location", "context", *order)]
     out = run.groupBy(*pair).agg(*first, F.count("*").alias("weight"))
     only = run.filter(F.col("after").isNull()).select(*pair, "o", "source_location")

@@ -29,6 +29,13 @@ def _built(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return _nodes(spark, folder), kept(spark, folder, _EDGES, "simple-edges", lambda: graph.upsert_edges(_repaired(spark, folder)))
 
 
+def _weights(spark: SparkSession, folder: str, nodes: DataFrame) -> DataFrame:
+    """Ends and weights of the simple edges, without what else an edge keeps."""
+    rows = table(spark, folder, "edges").select("edge_id", "source", "target", "relation", "extracted_at", "ingested_at")
+    repaired = written(graph.repair_ends(rows, nodes).select("edge_id", "source", "target", "relation", "extracted_at"), "ends")
+    return graph.edge_weights(repaired)
+
+
 def _ways(spark: SparkSession, folder: str) -> DataFrame:
     """The simple edges in both directions, once each."""
     return kept(spark, folder, _EDGES, "ways", lambda: traversal.undirected(_built(spark, folder)[1]))
@@ -327,8 +334,8 @@ def connected_components(spark, folder):
 
 def louvain(spark, folder):
     """Communities by synchronous Louvain, the largest first."""
-    nodes, edges = _built(spark, folder)
-    return community.communities(nodes, edges)
+    nodes = _nodes(spark, folder)
+    return community.communities(nodes, _weights(spark, folder, nodes))
 
 
 def _two_snapshots(spark, folder, name: str) -> tuple[DataFrame, DataFrame]:

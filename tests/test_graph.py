@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import analysis, community, corpus, graph, orphans, resolve, snapshots, sync, traversal
+from graphloom.operators import analysis, community, corpus, graph, moves, orphans, resolve, snapshots, sync, traversal
+from graphloom.sources.tables import written
 
 EDGE = "edge_id long, source string, target string, relation string, confidence string, source_file string, source_location string, context string, extracted_at timestamp"
 
@@ -144,6 +146,62 @@ def test_louvain_goes_on_while_it_gains(spark):
     assert community.modularity(community.pair_weights(e), community.partition(e)) > 0.75
 
 
+def _random_pairs(n, m, seed=7):
+    rng = random.Random(seed)
+    return [(f"n{rng.randrange(n):03}", f"n{min(rng.randrange(n), rng.randrange(n)):03}", "calls", "1") for _ in range(m)]
+
+
+def test_louvain_runs_few_jobs(spark):
+    e = written(graph.upsert_edges(edges_of(spark, _random_pairs(200, 500))), "edges")
+    nodes = written(ids(spark, *{x for p in _random_pairs(200, 500) for x in p[:2]}), "nodes")
+    spark.sparkContext.setJobGroup("louvain", "louvain")
+    try:
+        community.communities(nodes, e).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert jobs < 60  # looks of a small graph are no jobs
+
+
+def test_louvain_is_the_same_in_tasks(spark, monkeypatch):
+    pairs = _random_pairs(60, 150)
+    e = written(graph.upsert_edges(edges_of(spark, pairs)), "edges")
+    nodes = ids(spark, *{x for p in pairs for x in p[:2]})
+    here = {(r.id, r.community) for r in community.communities(nodes, e).collect()}
+    monkeypatch.setattr(moves, "SMALL", 20)
+    assert {(r.id, r.community) for r in community.communities(nodes, e).collect()} == here
+
+
+def test_louvain_by_joins(spark, monkeypatch):
+    pairs = _random_pairs(60, 120)
+    e = written(graph.upsert_edges(edges_of(spark, pairs)), "edges")
+    nodes = ids(spark, *{x for p in pairs for x in p[:2]}, "alone")
+    few = community.modularity(community.pair_weights(e.filter("source <> target")), community.partition(e))
+    monkeypatch.setattr(community, "NODES", 30)
+    names = community.partition(e)
+    assert abs(community.modularity(community.pair_weights(e.filter("source <> target")), names) - few) < 0.05
+    out = community.communities(nodes, e).collect()
+    assert sorted(r.id for r in out) == sorted(r.id for r in nodes.collect())
+    sizes = [n for _, n in sorted(Counter(r.community for r in out).items())]
+    assert sizes == sorted(sizes, reverse=True) and min(r.community for r in out) == 0
+
+
+def test_louvain_splits_each_community_by_itself(spark):
+    """Three rings: each is partitioned as if it were the whole graph."""
+    g = np.repeat(np.arange(3, dtype="i4"), 40)
+    pairs = [(40 * r + i, 40 * r + (i + 1) % 40) for r in range(3) for i in range(40)]
+    near = moves.Neighbours.of(spark.createDataFrame([x for a, b in pairs for x in ((a, b, 1.0), (b, a, 1.0))], "a int, b int, w double"))
+    together = moves.partition(near, g, np.ones(3, bool))
+    for r in range(3):
+        alone = moves.partition(near, g, np.arange(3) == r)
+        assert (together[g == r] == alone[g == r]).all() and len(set(together[g == r])) > 4
+
+
+def test_edge_weights(spark):
+    e = edges_of(spark, [("a", "b", "calls", "1"), ("a", "b", "uses", "2"), ("a", "b", "uses", "3"), ("b", "c", None, "4"), ("b", "c", None, "5")])
+    assert sorted(graph.edge_weights(e).collect()) == sorted(graph.upsert_edges(e).select("source", "target", "weight").collect())
+
+
 def test_scores(spark):
     nodes = spark.createDataFrame(
         [("n1", "lookup()", "index.py", None, None), ("n2", "Index", "index.py", None, None), ("n3", "score()", "ranker.py", ["index"], "calls Lookup"), ("n4", "other()", "a.py", None, None)],
